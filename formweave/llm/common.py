@@ -104,6 +104,13 @@ class Words:
     end: np.ndarray
     rows: np.ndarray
     hash: np.ndarray
+    total: np.ndarray
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word; the word's own hash where it is no longer than that."""
+        _, inv = powers(len(self.total))
+        h = mix((self.total[np.minimum(self.start + k, self.end)] - self.total[self.start]) * inv[self.start] + np.uint64(k << 32))
+        return np.where(self.end - self.start > k, h, self.hash)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word runs inside a row, and row offsets into them.
@@ -139,7 +146,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, sep: np.nda
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * fwd[:n], out=total[1:])
     h = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
-    return Words(data, start, end, np.searchsorted(start, offsets), h)
+    return Words(data, start, end, np.searchsorted(start, offsets), h, total)
 
 
 def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, quotations, secrets, sharding, toxicity, url_filter
+from . import decontaminate, minhash, mixing, quality_rules, quotations, secrets, sharding, toxicity, url_filter
 from .common import shared_dir, table
 
 #: The rules that the URL query judges by.
@@ -62,6 +62,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, listing)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_secrets, op3_mix, op4_shard, op6_quotes, op7_urls, op9_toxicity, op10_quality)
+        for f in (op1_decontaminate, op2_secrets, op3_mix, op4_shard, op6_quotes, op7_urls, op8_near_duplicates, op9_toxicity, op10_quality)
     }
 
 

@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or, learned from document labels.
 
 A document is toxic if any of its sentences is: p(doc) = 1 - prod(1 - p(sentence)), and p(sentence)
-is a logistic function of the words it holds. Only documents carry labels; the gradient of the
+is a logistic function of the words it holds and of their first 4 and 5 bytes, so that inflected
+forms of a stem count together. Only documents carry labels; the gradient of the
 noisy-or tells each sentence its share. The same sentence scores then locate the worst sentence.
 
 The model is fitted on at most `max_train` labelled documents, those with the smallest hash of
 doc_id, and only where crc32(doc_id) mod 4 is not 2. Everything else is scored, whole texts, by a
-table of word weights whose size is bounded by `max_words`.
+table of feature weights of bounded size.
 
 Defined cases: null and empty texts, and texts without words, score 0 and are not predicted toxic.
 A document with several labels is toxic if one says so; null labels teach nothing. Without any
@@ -30,14 +31,34 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
 
 
+PREFIXES = (4, 5)
+SLOT_BITS = 18
+
+
 @dataclass
 class Model:
-    """Word hashes in ascending order, their weights, and the bias of a sentence."""
+    """A table of 2^SLOT_BITS feature hashes and weights, and the bias of a sentence; a few MB at any corpus size."""
 
-    words: np.ndarray
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
 
+    @staticmethod
+    def of(hashes: np.ndarray, weights: np.ndarray, bias: float) -> Model:
+        keys, table = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS)
+        order = np.argsort(np.abs(weights), kind="stable")  # of two features in one slot the heavier one stays
+        slot = hashes[order] >> np.uint64(64 - SLOT_BITS)
+        keys[slot], table[slot] = hashes[order], weights[order]
+        return Model(keys, table, bias)
+
+    def weigh(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> np.uint64(64 - SLOT_BITS)
+        return np.where(self.keys[slot] == h, self.weights[slot], 0.0)
+
+
+def _untaught() -> Model:
+    return Model.of(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple:
     """Words, and for each sentence its first word and its row; words stay in order."""
@@ -55,57 +76,63 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, max_words: int = 50_000, min_docs: int = 4, epochs: int = 150) -> Model:
-    """Fits word weights by full-batch Adam on the noisy-or likelihood."""
+def fit(texts: pa.Array, toxic: np.ndarray, max_features: int = 50_000, min_docs: int = 4, epochs: int = 150, ridge: float = 0.1, min_z: float = 4.0) -> Model:
+    """Fits feature weights by full-batch Adam on the noisy-or likelihood."""
     data, offsets = utf8(texts)
-    hashes, first, doc, at, rows = [], [], [], 0, 0
+    y = np.asarray(toxic, float)
+    feats, sents, doc, n_sent, rows = [], [], [], 0, 0
     for i, j in slices(offsets):
-        w, f, r = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        hashes.append(w.hash)
-        first.append(f + at)
-        doc.append(r + rows)
-        at += len(w.hash)
+        w, first, row = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.hash)))) + n_sent
+        for h in (w.hash, *(w.prefixes(k) for k in PREFIXES)):
+            feats.append(h)
+            sents.append(of)
+        doc.append(row + rows)
+        n_sent += len(first)
         rows += j - i
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    hashes, first, doc = cat(hashes, np.uint64), cat(first, np.int64), cat(doc, np.int64)
-    y = np.asarray(toxic, float)
-    if not len(first) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    vocab, index = np.unique(hashes, return_inverse=True)
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
-    # a word counts by the documents that hold it
-    seen = np.unique(doc[sentence] * np.int64(len(vocab)) + index)
+    feats, sents, doc = cat(feats, np.uint64), cat(sents, np.int64), cat(doc, np.int64)
+    if not n_sent or y.min() == y.max():
+        return _untaught()
+    vocab, index = np.unique(feats, return_inverse=True)
+    del feats
+    # a feature takes part if toxic documents hold it clearly more often than their share of all documents
+    seen = np.unique(doc[sents] * np.int64(len(vocab)) + index)
     df = np.bincount(seen % len(vocab), minlength=len(vocab))
-    order = np.argsort(-df, kind="stable")[:max_words]
+    toxic_df = np.bincount(seen % len(vocab), y[seen // len(vocab)], len(vocab))
+    del seen
+    share = y.mean()
+    z = (toxic_df - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
+    order = np.argsort(-z, kind="stable")[:max_features]
     keep = np.zeros(len(vocab), bool)
-    keep[order[df[order] >= min_docs]] = True
-    renumber = np.cumsum(keep) - 1
+    keep[order[(df[order] >= min_docs) & (z[order] >= min_z)]] = True
     used = keep[index]
-    index, sentence = renumber[index[used]], sentence[used]
-    n, s = int(keep.sum()), len(first)
+    index, sents = (np.cumsum(keep) - 1)[index[used]], sents[used]
+    n = int(keep.sum())
     theta, bias = np.zeros(n), -6.0
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, epochs + 1):
-        p = _sigmoid(bias + np.bincount(sentence, theta[index], s))
-        quiet = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the chance that no sentence is toxic
-        none = np.exp(quiet)
+        p = _sigmoid(bias + np.bincount(sents, theta[index], n_sent))
+        none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))  # the chance that no sentence is toxic
         factor = np.where(y > 0, -none / np.maximum(1 - none, 1e-6), 1.0)
         g = factor[doc] * p
-        grad = np.append(np.bincount(index, g[sentence], n) + 0.02 * theta, g.sum()) / len(y)
+        grad = np.append(np.bincount(index, g[sents], n) + ridge * theta, g.sum()) / len(y)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
-        move = 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
         theta -= move[:-1]
         bias -= move[-1]
-    return Model(vocab[keep], theta, float(bias))
+    return Model.of(vocab[keep], theta, float(bias))
 
 
 def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
     """Words, first word and row of each sentence, and its score."""
     w, first, row = sentences(data, offsets)
     z = np.full(len(first), model.bias)
-    if len(model.words) and len(first):
-        at = np.minimum(np.searchsorted(model.words, w.hash), len(model.words) - 1)
-        z += np.add.reduceat(np.where(model.words[at] == w.hash, model.weights[at], 0.0), first)
+    if len(first):
+        each = model.weigh(w.hash)
+        for k in PREFIXES:
+            each += model.weigh(w.prefixes(k))
+        z += np.add.reduceat(each, first)
     return w, first, row, _sigmoid(z)
 
 
@@ -126,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000) -> Model:
     one = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("_tx_id"))
     got = one.select("text", "_tx_label", "_tx_id").toArrow().sort_by([("_tx_id", "ascending"), ("text", "ascending")])
     texts = got["text"].combine_chunks()
-    return fit(texts, got["_tx_label"].to_numpy()) if len(texts) else Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+    return fit(texts, got["_tx_label"].to_numpy()) if len(texts) else _untaught()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
