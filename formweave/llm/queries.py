@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality_rules, quotations, secrets, sharding, toxicity, url_filter
+from . import decontaminate, minhash, mixing, quality_rules, quotations, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import shared_dir, table
 
 #: The rules that the URL query judges by.
@@ -48,6 +48,10 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lit(m.version).alias("version"), F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_conversations(table(spark, sf_dir, "conversations"))
 
@@ -78,7 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontaminate, op2_secrets, op3_mix, op4_shard, op6_quotes, op7_urls, op8_near_duplicates, op9_toxicity, op10_quality)
+        for f in (op1_decontaminate, op2_secrets, op3_mix, op4_shard, op5_suffix_dedup, op6_quotes, op7_urls, op8_near_duplicates, op9_toxicity, op10_quality)
     }
 
 
