@@ -33,6 +33,7 @@ _BREAK[[ord(c) for c in ".!?\n"]] = True
 
 PREFIXES = (4, 5)
 SLOT_BITS = 18
+COUNT_BITS = 21
 
 
 @dataclass
@@ -76,33 +77,52 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _excess(df: np.ndarray, toxic_df: np.ndarray, share: float) -> np.ndarray:
+    """Standard deviations by which toxic documents exceed their share among the documents that hold a feature."""
+    return (toxic_df - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, max_features: int = 50_000, min_docs: int = 4, epochs: int = 150, ridge: float = 0.1, min_z: float = 4.0) -> Model:
     """Fits feature weights by full-batch Adam on the noisy-or likelihood."""
     data, offsets = utf8(texts)
     y = np.asarray(toxic, float)
-    feats, sents, doc, n_sent, rows = [], [], [], 0, 0
-    for i, j in slices(offsets):
-        w, first, row = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.hash)))) + n_sent
-        for h in (w.hash, *(w.prefixes(k) for k in PREFIXES)):
-            feats.append(h)
-            sents.append(of)
-        doc.append(row + rows)
-        n_sent += len(first)
-        rows += j - i
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    feats, sents, doc = cat(feats, np.uint64), cat(sents, np.int64), cat(doc, np.int64)
-    if not n_sent or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
+        return _untaught()
+
+    def parts() -> Iterator[tuple]:
+        """Per range of rows: first row, rows of its sentences, and hash and sentence of each feature."""
+        for i, j in slices(offsets):
+            w, first, row = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.hash))))
+            yield row + i, [(h, of) for h in (w.hash, *(w.prefixes(k) for k in PREFIXES))]
+
+    # a first pass counts documents by hash slot, so that memory is bounded by the slots and not by the vocabulary;
+    # only features of promising slots are gathered
+    share, slots = y.mean(), 1 << COUNT_BITS
+    df, toxic_df = np.zeros(slots), np.zeros(slots)
+    for row, found in parts():
+        for h, of in found:
+            seen = np.unique((row[of] << COUNT_BITS) | (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
+            df += np.bincount(seen & (slots - 1), minlength=slots)
+            toxic_df += np.bincount(seen & (slots - 1), y[seen >> COUNT_BITS], slots)
+    chosen = _excess(df, toxic_df, share) >= min_z
+    feats, sents, doc, n_sent = [], [], [], 0
+    for row, found in parts():
+        for h, of in found:
+            use = chosen[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            feats.append(h[use])
+            sents.append(of[use] + n_sent)
+        doc.append(row)
+        n_sent += len(row)
+    feats, sents, doc = np.concatenate(feats), np.concatenate(sents), np.concatenate(doc)
+    if not n_sent:
         return _untaught()
     vocab, index = np.unique(feats, return_inverse=True)
-    del feats
     # a feature takes part if toxic documents hold it clearly more often than their share of all documents
-    seen = np.unique(doc[sents] * np.int64(len(vocab)) + index)
-    df = np.bincount(seen % len(vocab), minlength=len(vocab))
-    toxic_df = np.bincount(seen % len(vocab), y[seen // len(vocab)], len(vocab))
-    del seen
-    share = y.mean()
-    z = (toxic_df - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
+    seen = np.unique(doc[sents] * np.int64(max(1, len(vocab))) + index)
+    which, where = seen % max(1, len(vocab)), seen // max(1, len(vocab))
+    df = np.bincount(which, minlength=len(vocab))
+    z = _excess(df, np.bincount(which, y[where], len(vocab)), share)
     order = np.argsort(-z, kind="stable")[:max_features]
     keep = np.zeros(len(vocab), bool)
     keep[order[(df[order] >= min_docs) & (z[order] >= min_z)]] = True
