@@ -156,7 +156,7 @@ def compact(spark: SparkSession, root: str, target: int = 128 << 20, fanout: int
         data = spark.read.schema(schema).parquet(*[s.path for g in merges for s in g])
         path = f"{root}/data/merged-{uuid.uuid4().hex}"
         tagged = data.withColumn("_sh_name", F.col("_metadata.file_name")).join(plan, F.col("_sh_name") == F.col("_sh_file")).drop("_sh_name", "_sh_file")
-        (tagged.repartition(len(merges), "_sh_group").write.option("compression", "zstd").partitionBy("_sh_group").parquet(path))
+        (tagged.repartitionById(len(merges), F.col("_sh_group")).write.option("compression", "zstd").partitionBy("_sh_group").parquet(path))
         fresh = _listed(spark, path)
     new = Manifest(old.version + 1, old.schema, tuple(stay + fresh))
     commit(spark, root, new)
