@@ -12,9 +12,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java regular expression of one word: a run without space, tab, LF, VT, FF and CR.
 WORD_RE = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,6 +50,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, rows, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_ROWS rows, so that workers and Arrow buffers stay small beside the heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(rows, schema)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -76,7 +86,7 @@ def mix(x: np.ndarray, k: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier mod 2^64, and of its inverse, up to n entries; kept per worker."""
     if len(_POW.get("f", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 19) + (1 << 16))
         inverse = pow(_M, -1, 1 << 64)
         for key, m in (("f", _M), ("i", inverse)):
             out = np.full(size, m, np.uint64)
@@ -149,7 +159,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, sep: np.nda
     return Words(data, start, end, np.searchsorted(start, offsets), h, total)
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; one longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -158,7 +168,7 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def word_slices(column: pa.Array, lower: bool = True, most: int = 1 << 20, sep: np.ndarray = _SEP) -> Iterator[tuple[int, int, Words]]:
+def word_slices(column: pa.Array, lower: bool = True, most: int = 1 << 19, sep: np.ndarray = _SEP) -> Iterator[tuple[int, int, Words]]:
     """Words of a text column by row ranges, so that memory stays bounded by the range or the longest row."""
     data, offsets = utf8(column)
     for i, j in slices(offsets, most):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, materialise, word_slices
+from .common import PUNCT, map_arrow, materialise, word_slices
 
 SEED = 5
 
@@ -224,7 +224,7 @@ def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_
     schema = "doc_id bigint, text string, item_ids array<bigint>, coverage double"
     out = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(array() as array<bigint>) item_ids", "0D coverage")
     for k, items in enumerate(blocks(benchmark, block_bytes)):
-        out = (materialise(out, "tiled") if k else out).mapInArrow(_judge(index(items), threshold), schema)
+        out = map_arrow(materialise(out, "tiled") if k else out, _judge(index(items), threshold), schema)
     return out.select("doc_id", F.array_sort("item_ids").alias("item_ids"), "coverage", (F.size("item_ids") > 0).alias("contaminated"))
 
 
@@ -241,5 +241,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     out = docs
     for k, items in enumerate(blocks(benchmark, block_bytes)):
-        out = (materialise(out, "tiled") if k else out).mapInArrow(keep(index(items)), docs.schema)
+        out = map_arrow(materialise(out, "tiled") if k else out, keep(index(items)), docs.schema)
     return out

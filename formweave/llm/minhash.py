@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, word_slices
+from .common import map_arrow, materialise, mix, word_slices
 from .components import connected_components
 
 SHINGLE, MINIMA, BANDS, ROWS = 5, 128, 24, 4
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *fixed, bands], ["doc_id", "n", "f0", "f1", *_SIG, "bands"])
 
     schema = "doc_id bigint, n bigint, f0 bigint, f1 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(rows, schema)
+    return map_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), rows, schema)
 
 
 class _Union:
@@ -151,7 +151,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         for u, v in _bucket_edges(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.mapInArrow(kernel, "u bigint, v bigint").distinct()
+    return map_arrow(rows, kernel, "u bigint, v bigint").distinct()
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -265,7 +265,7 @@ def verified_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent
             u, v = linked(t["rep"].to_numpy()[ok], sig, [x for x in sets if len(x)], t["b"].to_numpy()[ok], percent)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.mapInArrow(kernel, "u bigint, v bigint")
+    return map_arrow(rows, kernel, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, powers, slices, utf8
+from .common import map_arrow, materialise, mix, powers, slices, utf8
 
 LENGTH, K = 100, 24
 STEP = 16
@@ -381,13 +381,13 @@ def _remove(length: int):
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc and sn (start * 256 + number) of all runs of windows that also start earlier; runs may touch or repeat."""
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    found = texts.mapInArrow(_found(length), "key bigint, h bigint, g bigint, doc bigint, sn bigint")
+    found = map_arrow(texts, _found(length), "key bigint, h bigint, g bigint, doc bigint, sn bigint")
     found = found.repartition("key").drop("key").sortWithinPartitions("h", "g", "doc", "sn")
-    folded = materialise(found.mapInArrow(_fold, "h bigint, doc bigint, sn bigint"), "segments")
+    folded = materialise(map_arrow(found, _fold, "h bigint, doc bigint, sn bigint"), "segments")
     _tidy(docs)
     wanted = folded.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("sn", "h")).alias("wanted"))
-    cut = texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted").mapInArrow(_cut(length), "h bigint, doc bigint, sn bigint, bytes binary")
-    merged = cut.repartition("h").sortWithinPartitions("h", "doc", "sn").mapInArrow(_merge(length), "doc bigint, sn bigint")
+    cut = map_arrow(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted"), _cut(length), "h bigint, doc bigint, sn bigint, bytes binary")
+    merged = map_arrow(cut.repartition("h").sortWithinPartitions("h", "doc", "sn"), _merge(length), "doc bigint, sn bigint")
     runs = materialise(merged, "runs")
     _tidy(docs)
     return folded.where("h is null").select("doc", "sn").unionByName(runs)
@@ -403,4 +403,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = repeated_runs(docs, length).groupBy("doc").agg(F.collect_list("sn").alias("marks"))
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     joined = texts.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_remove(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_arrow(joined, _remove(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, slices, utf8, words
+from .common import PUNCT, map_arrow, slices, utf8, words
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "worst_score", "worst_start", "worst_end"])
 
     schema = "doc_id bigint, score double, worst_score double, worst_start bigint, worst_end bigint"
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(rows, schema)
+    return map_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), rows, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, threshold: float = 0.3) -> DataFrame:
@@ -223,4 +223,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, thres
                 total[i:j] = -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), j - i)) if len(row) else 0.0
             yield batch.filter(pa.array(total < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
