@@ -147,3 +147,61 @@ def score_value(value: Column, kind: Column) -> Column:
         .when(kind == "signature", F.when(F.length(value) >= 2, 0.8).otherwise(0.2))
         .otherwise(F.when(F.length(value) >= 3, 0.8).otherwise(0.4))
     )
+
+
+def normalize_lines(c: Column) -> Column:
+    """Lines stripped, blank ones dropped, line ends unified."""
+    stripped = F.transform(F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(stripped, lambda x: x != ""), "\n")
+
+
+# Box glyphs and their task-list tokens.
+GLYPHS = (("☒", "- [x]"), ("☑", "- [x]"), ("☐", "- [ ]"), (":selected:", "- [x]"), (":unselected:", "- [ ]"))
+
+
+def task_tokens(c: Column) -> Column:
+    """A leading glyph becomes a task-list token; glyphs elsewhere become bare brackets."""
+    line = F.trim(c)
+    out = c
+    for glyph, token in GLYPHS:
+        out = F.replace(out, F.lit(glyph), F.lit(token[2:]))
+    for glyph, token in reversed(GLYPHS):
+        out = F.when(line == glyph, token).when(line.startswith(glyph + " "), F.concat(F.lit(token), line.substr(F.lit(len(glyph) + 1), F.length(line)))).otherwise(out)
+    return out
+
+
+def percent_coordinate(value: Column, total: Column) -> Column:
+    """Share of the total in percent, within 0 and 100, with three decimals."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * value / F.nullif(total, F.lit(0.0))))
+    return F.when(total <= 0, "0.000").otherwise(F.format_string("%.3f", share))
+
+
+def around(words: Column, at: Column, before: int = 6, after: int = 8) -> Column:
+    """The words before position `at` (from 0), at most `before`, and those behind it, at most `after`."""
+    left = F.slice(words, F.greatest(at - before + 1, F.lit(1)), F.least(at, F.lit(before)))
+    return F.array_join(F.concat(left, F.slice(words, at + 2, F.lit(after))), " ")
+
+
+def score_strict(value: Column, kind: Column) -> Column:
+    """Confidence by kind in the stricter profile: ambiguous answers are low, unknown kinds 0.75.
+
+    The percent pattern asks for a word character behind the sign, as the rule it reproduces does, so a plain 40% is low.
+    """
+    return (
+        F.when(value == "", 0.0)
+        .when(value == "BOTH", 0.35)
+        .when(kind == "date", F.when(date(value) != "", 0.95).otherwise(0.25))
+        .when(kind == "percent", F.when(value.rlike(r"\b\d+(?:\.\d+)?%\b"), 0.95).otherwise(0.2))
+        .when(kind == "identifier", F.when(value.rlike("[A-Z0-9-]{6,}"), 0.9).otherwise(0.35))
+        .when(kind == "yesno", F.when(value.isin("YES", "NO"), 0.9).otherwise(0.35))
+        .when(kind == "text", F.when(F.length(value) >= 3, 0.8).otherwise(0.3))
+        .otherwise(0.75)
+    )
+
+
+def form_text(c: Column, furniture: Column) -> Column:
+    """Printed text of a form: too short, a question, a small number, prose, furniture, or three words in capitals."""
+    v = clean_value(c)
+    bare = F.regexp_replace(v, r"^\d{1,2}[.)]?\s+", "")
+    capitals = (word_count(bare) >= 3) & ~bare.rlike(r"\d") & bare.rlike("[A-Z]") & ~bare.rlike("[a-z]")
+    return (F.length(v) < 2) | v.endswith("?") | v.rlike(r"^\d{1,2}$") | prose(c) | furniture | capitals

@@ -49,3 +49,12 @@ def longest_prefix(lines: DataFrame, dictionary: DataFrame, most: int = 6, key:
     rest = F.array_join(F.slice("_w", F.col("n_words") + 1, F.greatest(F.size("_w") - F.col("n_words"), F.lit(0))), " ")
     best = hits.withColumn("_r", rest).groupBy(key, "line_no").agg(F.max_by(F.struct("keyword", "n_words", F.col("_r").alias("rest")), "n_words").alias("b"))
     return best.select(key, "line_no", "b.keyword", "b.n_words", "b.rest")
+
+
+def all_lines(*sources: DataFrame) -> DataFrame:
+    """The lines of all sources with `origin`, their source's place; repeated lines stay."""
+    out = None
+    for i, s in enumerate(sources):
+        s = s.withColumn("origin", F.lit(i))
+        out = s if out is None else out.unionByName(s)
+    return out

@@ -63,3 +63,20 @@ def contextual(labels: DataFrame, label: str, context: str, dictionary: DataFram
     norm = labels.withColumn("_n", text.normalize_label(F.col(label)))
     hits = norm.join(small(dictionary), (F.col("_n") == F.col("label_norm")) & text.has_context(text.normalize_label(F.col(context)), F.col("context_norm")))
     return hits.groupBy(*labels.columns).agg(F.min_by("keyword", "ord").alias("keyword"))
+
+
+def furniture(labels: DataFrame, label: str, dictionary: DataFrame, least: int = 6, share: float = 0.5, fragment: int = 8) -> DataFrame:
+    """Adds `furniture`: in parentheses, an alias, half filled by an alias, or an 8-character part of one.
+
+    The aliases ride along as one array, so lines are neither joined nor multiplied; their number is checked.
+    """
+    rows = [r[0] for r in dictionary.select("alias_norm").distinct().orderBy("alias_norm").limit(BROADCAST_ROWS + 1).collect()]
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError("the dictionary has more aliases than configuration should")
+    norm = text.normalize_label(F.col(label))
+    aliases = F.array(*map(F.lit, rows)) if rows else F.array().cast("array<string>")
+    hit = F.exists(
+        aliases,
+        lambda a: (a == norm) | ((F.length(a) >= least) & norm.contains(a) & (F.length(a) >= share * F.length(norm))) | ((F.length(norm) >= fragment) & a.contains(norm)),
+    )
+    return labels.withColumn("furniture", (norm != "") & (text.clean_value(F.col(label)).rlike(r"^\(.*\)$") | hit))

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formweave.functions import text
 from formweave.operators import fields, geometry, images, lines, matching, tables
-from formweave.plans.views import v_dict, v_form, v_grid, v_lines, with_views
+from formweave.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from formweave.plans.views import v_dict, v_form, v_grid, v_lines
 from formweave.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: str = "") -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_views(views, sql) if views else sql
-        return f
-
-    return add
-
-
 NORM = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 CLEAN = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
 
