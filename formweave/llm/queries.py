@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality_rules, quotations, secrets, sharding, suffix_dedup, toxicity, url_filter
+from . import decontaminate, minhash, mixing, oracles, quality_rules, quotations, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import shared_dir, table
 
 #: The rules that the URL query judges by.
@@ -87,4 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_suffix_dedup": oracles.OP5,
+        "op6_quotes": oracles.OP6,
+        "op7_urls": oracles.op7(URL_RULES, LISTED_HOSTS),
+        "op8_near_duplicates": oracles.OP8,
+        "op10_quality": oracles.OP10,
+    }
