@@ -73,7 +73,8 @@ def geometric_tables(cells: DataFrame, dictionary: DataFrame, page: str = "page"
     """page, row_no, keyword, value of the table under each page's best header band.
 
     Headers are cells that cover an alias; bands split where captions lie far apart. Columns are the headers'
-    ranges, padded; cells below go to the column they overlap most. Short texts and prose go, rows need
+    ranges, padded; cells below go to the column they overlap most. Row labels like `a)`, row numbers left of
+    the first column, short texts, captions, prose and cells much wider than their column go. Rows need
     `least_values` values, and the table ends at a gap of twice the typical row height.
     """
     cy = cells.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
@@ -84,12 +85,18 @@ def geometric_tables(cells: DataFrame, dictionary: DataFrame, page: str = "page"
     hits = matching.covered(cy, "text", dictionary)
     heads = best_band(gap_bands(hits, [page], "cy", "cell_id", F.greatest(3 * F.col("typical"), F.lit(60.0))), [page])
     pad = F.greatest(F.lit(10.0), (F.col("x1") - F.col("x0")) * 0.05)
-    columns = heads.groupBy(page, "keyword").agg(F.min(F.col("x0") - pad).alias("cx0"), F.max(F.col("x1") + pad).alias("cx1"), F.max("cy").alias("_hy"))
+    columns = heads.groupBy(page, "keyword").agg(F.min(F.col("x0") - pad).alias("cx0"), F.max(F.col("x1") + pad).alias("cx1"), F.max("cy").alias("_hy"), F.min("x0").alias("_hx0"), F.max("x1").alias("_hx1"))
     columns = columns.withColumn("col_no", F.row_number().over(Window.partitionBy(page).orderBy("cx0", "keyword")))
-    foot = columns.groupBy(page).agg(F.max("_hy").alias("_foot"), F.count("*").alias("_n")).where(F.col("_n") >= least_columns)
-    body = cy.join(foot, page).where((F.col("cy") > F.col("_foot") + 0.5 * F.col("typical")) & (F.length(text.clean_value(F.col("text"))) >= 2) & ~text.prose(F.col("text")))
+    widths = F.transform(F.array_sort(F.collect_list(F.struct("col_no", (F.col("_hx1") - F.col("_hx0")).alias("w")))), lambda c: F.greatest(c["w"], F.lit(1.0)))
+    foot = columns.groupBy(page).agg(F.max("_hy").alias("_foot"), F.count("*").alias("_n"), F.min("_hx0").alias("_left"), widths.alias("_widths")).where(F.col("_n") >= least_columns)
+    clean = F.regexp_replace(text.clean_value(F.col("text")), r"^[a-z]\)\s+", "")
+    below = cy.join(hits.select(page, "cell_id"), [page, "cell_id"], "left_anti").join(foot, page).withColumn("text", clean)
+    gutter = F.col("text").rlike(r"^\d{1,3}$") & (F.col("x1") <= F.col("_left"))
+    data = (F.col("cy") > F.col("_foot") + 0.5 * F.col("typical")) & (F.length("text") >= 2) & ~F.lower("text").rlike(r"^[a-z]\)$") & ~gutter & ~text.prose(F.col("text"))
+    body = below.where(data)
     rows = geometry.cluster_rows(body.withColumn("_tol", F.greatest(F.lit(8.0), 0.65 * (F.col("y1") - F.col("y0")))), [page], "cy", "cell_id", "_tol").select(page, "cell_id", "row_no")
-    placed = geometry.assign_columns(body.join(rows, [page, "cell_id"]), columns.select(page, "col_no", "cx0", "cx1"), [page], ["cell_id", "row_no", "cy", "text", "x0", "typical", "_foot"])
+    placed = geometry.assign_columns(body.join(rows, [page, "cell_id"]), columns.select(page, "col_no", "cx0", "cx1"), [page], ["cell_id", "row_no", "cy", "text", "x0", "x1", "typical", "_foot", "_widths"])
+    placed = placed.where(F.col("x1") - F.col("x0") <= 2.5 * F.element_at("_widths", F.col("col_no").cast("int")))
     joined = placed.groupBy(page, "row_no", "col_no", "typical", "_foot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("value"), F.min("cy").alias("cy"))
     by_row = joined.groupBy(page, "row_no", "typical", "_foot").agg(F.min("cy").alias("cy"), F.collect_list(F.struct("col_no", "value")).alias("_v")).where(F.size("_v") >= least_values)
     kept = until_gap(by_row, [page], "cy", "typical", "_foot").withColumn("row_no", F.row_number().over(Window.partitionBy(page).orderBy("cy")))

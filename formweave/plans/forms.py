@@ -289,10 +289,15 @@ def geometric_tables(spark, sf):
     label = F.element_at(names, F.col("col_no") + 1)
     body = F.concat(F.element_at(F.array(F.lit("P-"), F.lit("F-"), F.lit("C-")), F.col("col_no") + 1), "text")
     y = F.col("row_no") * 20.0 + F.when(F.col("row_no") >= 5, 200.0).otherwise(0.0)
+    row_label = F.when((F.col("row_no") % 2 == 0) & (F.col("col_no") == 0), "b) ").otherwise("")
     cells = v_grid(spark, sf).select(
-        F.col("table_no").alias("page"), (F.col("row_no") * 3 + F.col("col_no")).cast("bigint").alias("cell_id"), F.when(F.col("row_no") == 0, label).otherwise(body).alias("text"),
+        F.col("table_no").alias("page"), (F.col("row_no") * 10 + F.col("col_no")).cast("bigint").alias("cell_id"), F.when(F.col("row_no") == 0, label).otherwise(F.concat(row_label, body)).alias("text"),
         (F.col("col_no") * 100.0).alias("x0"), (F.col("col_no") * 100.0 + 80).alias("x1"), y.alias("y0"), (y + 10).alias("y1"),
     )
+    # beside each row a number in the gutter, a marker and a text wider than any column; beside the fourth, too far for the header's band, a repeated caption
+    beside = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, t, a, b in [(5, "101", -40.0, -2.0), (6, "c)", 10.0, 20.0), (7, "Return Flag", 110.0, 170.0), (8, "wide note", 100.0, 320.0)]))
+    at = v_grid(spark, sf).where("col_no = 0 and row_no > 0").select(F.col("table_no").alias("page"), "row_no", y.alias("y0"), F.explode(beside).alias("c")).where("c.i <> 7 or row_no = 4")
+    cells = cells.unionByName(at.select("page", (F.col("row_no") * 10 + F.col("c.i")).cast("bigint").alias("cell_id"), F.col("c.t").alias("text"), F.col("c.a").alias("x0"), F.col("c.b").alias("x1"), "y0", (F.col("y0") + 10).alias("y1")))
     return layout.geometric_tables(cells, dictionary.from_rows(spark, _GRID_FIELDS)[0]).select("page", "row_no", "keyword", "value")
 
 
