@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cluster_rows(cells: DataFrame, page: list[str], y: str, tie: str, tolerance: str) -> DataFrame:
+def cluster_rows(cells: DataFrame, page: list[str], y: str, tie: str, tolerance: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Greedy 1-D clustering per page: a cell joins the row whose running mean is within the tolerance.
 
-    A page's cells are folded in order of (y, tie); pages are bounded by what a page can show.
+    A page's cells are folded in order of (y, tie); pages are bounded by what a page can show. Columns to
+    `carry` come through the fold, so that they need no join.
     """
-    state = "struct<m:double,n:int,r:int,out:array<struct<tie:bigint,y:double,row_no:int>>>"
+    state = "struct<m:double,n:int,r:int,out:array<int>>"
     start = F.from_json(F.lit('{"m":0.0,"n":0,"r":0,"out":[]}'), state)
 
     def step(acc, c):
         near = (acc["n"] > 0) & (F.abs(c["y"] - acc["m"]) <= c["tol"])
         n = F.when(near, acc["n"] + 1).otherwise(1)
         m = F.when(near, (acc["m"] * acc["n"] + c["y"]) / n).otherwise(c["y"])
-        r = F.when(near, acc["r"]).otherwise(acc["r"] + 1)
-        item = F.struct(c["tie"].alias("tie"), c["y"].alias("y"), r.cast("int").alias("row_no"))
-        return F.struct(m.alias("m"), n.cast("int").alias("n"), r.cast("int").alias("r"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    rows = F.array_sort(F.collect_list(F.struct(F.col(y).cast("double").alias("y"), F.col(tie).cast("bigint").alias("tie"), F.col(tolerance).cast("double").alias("tol"))))
-    folded = cells.groupBy(*page).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("_o"))
-    return folded.select(*page, F.explode("_o").alias("_c")).select(*page, F.col("_c.tie").alias(tie), F.col("_c.y").alias(y), "_c.row_no")
+        r = F.when(near, acc["r"]).otherwise(acc["r"] + 1).cast("int")
+        return F.struct(m.alias("m"), n.cast("int").alias("n"), r.alias("r"), F.concat(acc["out"], F.array(r)).alias("out"))
+
+    fold = F.struct(F.col(y).cast("double").alias("y"), F.col(tie).cast("bigint").alias("tie"), F.col(tolerance).cast("double").alias("tol"), *carry)
+    held = cells.groupBy(*page).agg(F.array_sort(F.collect_list(fold)).alias("_r"))
+    zipped = F.zip_with("_r", F.aggregate("_r", start, step, lambda a: a["out"]), lambda c, r: F.struct(c.alias("c"), r.alias("row_no")))
+    flat = held.select(*page, F.explode(zipped).alias("_c"))
+    return flat.select(*page, F.col("_c.c.tie").alias(tie), F.col("_c.c.y").alias(y), "_c.row_no", *(F.col(f"_c.c.{x}") for x in carry))
 
 
 def gap_segments(df: DataFrame, group: list[str], order: list[str], low: str, high: str, gap) -> DataFrame:

@@ -22,3 +22,68 @@ def ticked(gray: np.ndarray, cx: float, cy: float, size: float, margin: float =
     x, y = cx * w, cy * h
     part = gray[max(0, int(y - half)) : int(y + half) + 1, max(0, int(x - half)) : int(x + half) + 1]
     return bool(part.size and (part <= otsu(gray)).mean() >= ink)
+
+
+def _blur(gray: np.ndarray) -> np.ndarray:
+    """Weights 1, 2, 1 along both axes, mirrored at the edges."""
+    out = gray.astype(float)
+    for axis in (0, 1):
+        p = np.pad(out, [(1, 1) if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
+        n = out.shape[axis]
+        out = (p.take(range(n), axis) + 2 * p.take(range(1, n + 1), axis) + p.take(range(2, n + 2), axis)) / 4
+    return np.rint(out).astype(np.uint8)
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """x0, y0, x1, y1 (ends exclusive) of each connected area, by rows. Runs of neighbouring rows are united."""
+    steps = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(steps == 1)
+    end = np.nonzero(steps == -1)[1]
+    parent = np.arange(len(row))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
+    for r in range(1, mask.shape[0]):
+        i, j = first[r - 1], first[r]
+        while i < first[r] and j < first[r + 1]:
+            if max(begin[i], begin[j]) < min(end[i], end[j]) + diagonal:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+            if end[i] < end[j]:
+                i += 1
+            else:
+                j += 1
+    roots = np.array([root(i) for i in range(len(row))], int)
+    out = np.zeros((len(row), 4), int)
+    out[:, :2] = max(mask.shape)
+    for k, values, fold in ((0, begin, np.minimum), (1, row, np.minimum), (2, end, np.maximum), (3, row + 1, np.maximum)):
+        fold.at(out[:, k], roots, values)
+    return out[np.unique(roots)]
+
+
+def box_centers(gray: np.ndarray, least: int = 8, most: int = 70, ratio: tuple[float, float] = (0.75, 1.35), fill: tuple[float, float] = (0.18, 0.78), apart: float = 0.01) -> list[tuple[float, float]]:
+    """Relative centres of ticked boxes: outlines of dark areas and of the holes in them, by size, shape and ink.
+
+    From top to bottom; of centres nearer than `apart` on both axes the first one stays.
+    """
+    if not gray.size or gray.min() == gray.max():
+        return []
+    smooth = _blur(gray)
+    ink = smooth <= otsu(smooth)
+    h, w = ink.shape
+    holes = components(~ink, False)
+    inner = (holes[:, 0] > 0) & (holes[:, 1] > 0) & (holes[:, 2] < w) & (holes[:, 3] < h)
+    found: list[tuple[float, float]] = []
+    outlines = np.concatenate([components(ink), holes[inner] + np.array([-1, -1, 1, 1])])
+    for x0, y0, x1, y1 in outlines[np.lexsort((outlines[:, 0], outlines[:, 1]))].tolist():
+        wide, high = x1 - x0, y1 - y0
+        if least <= wide <= most and least <= high <= most and ratio[0] <= wide / high <= ratio[1] and fill[0] <= ink[y0:y1, x0:x1].mean() <= fill[1]:
+            x, y = (x0 + wide / 2) / w, (y0 + high / 2) / h
+            if not any(abs(x - a) < apart and abs(y - b) < apart for a, b in found):
+                found.append((x, y))
+    return found

@@ -76,31 +76,33 @@ def geometric_tables(cells: DataFrame, dictionary: DataFrame, page: str = "page"
     ranges, padded; cells below go to the column they overlap most. Row labels like `a)`, row numbers left of
     the first column, short texts, captions, prose and cells much wider than their column go. Rows need
     `least_values` values, and the table ends at a gap of twice the typical row height.
+
+    All steps up to the columns are windows of one partitioning by page; the columns then ride along as an array.
     """
-    cy = cells.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
-    w = Window.partitionBy(page).orderBy("cy", "cell_id")
-    gaps = cy.withColumn("_g", F.col("cy") - F.lag("cy").over(w)).where("_g > 5 and _g < 300")
-    height = gaps.groupBy(page).agg(F.median("_g").alias("typical"))
-    cy = cy.join(height, page, "left").withColumn("typical", F.coalesce("typical", F.lit(30.0)))
-    hits = matching.covered(cy, "text", dictionary)
-    heads = best_band(gap_bands(hits, [page], "cy", "cell_id", F.greatest(3 * F.col("typical"), F.lit(60.0))), [page])
+    sheet = Window.partitionBy(page)
+    w = sheet.orderBy("cy", "cell_id")
+    cy, is_hit = F.col("cy"), F.col("keyword").isNotNull()
+    c = matching.covering(cells.withColumn("cy", (F.col("y0") + F.col("y1")) / 2), "text", dictionary)
+    c = c.withColumn("_g", cy - F.lag("cy").over(w)).withColumn("_above", F.last(F.when(is_hit, cy), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    c = c.withColumn("typical", F.coalesce(F.median(F.when((F.col("_g") > 5) & (F.col("_g") < 300), F.col("_g"))).over(sheet), F.lit(30.0)))
+    new = F.coalesce((is_hit & (cy - F.col("_above") > F.greatest(3 * F.col("typical"), F.lit(60.0)))).cast("int"), F.lit(0))
+    c = c.withColumn("_new", new).withColumn("band", F.when(is_hit, F.sum("_new").over(w)))
     pad = F.greatest(F.lit(10.0), (F.col("x1") - F.col("x0")) * 0.05)
-    columns = heads.groupBy(page, "keyword").agg(F.min(F.col("x0") - pad).alias("cx0"), F.max(F.col("x1") + pad).alias("cx1"), F.max("cy").alias("_hy"), F.min("x0").alias("_hx0"), F.max("x1").alias("_hx1"))
-    columns = columns.withColumn("col_no", F.row_number().over(Window.partitionBy(page).orderBy("cx0", "keyword")))
-    widths = F.transform(F.array_sort(F.collect_list(F.struct("col_no", (F.col("_hx1") - F.col("_hx0")).alias("w")))), lambda c: F.greatest(c["w"], F.lit(1.0)))
-    foot = columns.groupBy(page).agg(F.max("_hy").alias("_foot"), F.count("*").alias("_n"), F.min("_hx0").alias("_left"), widths.alias("_widths")).where(F.col("_n") >= least_columns)
+    heads = best_band(c.where(is_hit), [page]).groupBy(page, "keyword").agg(
+        F.min(F.col("x0") - pad).alias("cx0"), F.max(F.col("x1") + pad).alias("cx1"), F.min("x0").alias("hx0"), F.max("x1").alias("hx1"), F.max("cy").alias("hy")
+    )
+    columns = heads.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("cx0", "keyword", "cx1", (F.col("hx1") - F.col("hx0")).alias("w")))).alias("_cols"), F.max("hy").alias("_foot"), F.min("hx0").alias("_left"))
     clean = F.regexp_replace(text.clean_value(F.col("text")), r"^[a-z]\)\s+", "")
-    below = cy.join(hits.select(page, "cell_id"), [page, "cell_id"], "left_anti").join(foot, page).withColumn("text", clean)
+    below = c.where(~is_hit).drop("keyword").join(columns.where(F.size("_cols") >= least_columns), page).withColumn("text", clean)
     gutter = F.col("text").rlike(r"^\d{1,3}$") & (F.col("x1") <= F.col("_left"))
-    data = (F.col("cy") > F.col("_foot") + 0.5 * F.col("typical")) & (F.length("text") >= 2) & ~F.lower("text").rlike(r"^[a-z]\)$") & ~gutter & ~text.prose(F.col("text"))
-    body = below.where(data)
-    rows = geometry.cluster_rows(body.withColumn("_tol", F.greatest(F.lit(8.0), 0.65 * (F.col("y1") - F.col("y0")))), [page], "cy", "cell_id", "_tol").select(page, "cell_id", "row_no")
-    placed = geometry.assign_columns(body.join(rows, [page, "cell_id"]), columns.select(page, "col_no", "cx0", "cx1"), [page], ["cell_id", "row_no", "cy", "text", "x0", "x1", "typical", "_foot", "_widths"])
-    placed = placed.where(F.col("x1") - F.col("x0") <= 2.5 * F.element_at("_widths", F.col("col_no").cast("int")))
-    joined = placed.groupBy(page, "row_no", "col_no", "typical", "_foot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("value"), F.min("cy").alias("cy"))
-    by_row = joined.groupBy(page, "row_no", "typical", "_foot").agg(F.min("cy").alias("cy"), F.collect_list(F.struct("col_no", "value")).alias("_v")).where(F.size("_v") >= least_values)
-    kept = until_gap(by_row, [page], "cy", "typical", "_foot").withColumn("row_no", F.row_number().over(Window.partitionBy(page).orderBy("cy")))
-    return kept.select(page, "row_no", F.explode("_v").alias("_c")).select(page, "row_no", "_c.col_no", "_c.value").join(columns.select(page, "col_no", "keyword"), [page, "col_no"]).drop("col_no")
+    data = (cy > F.col("_foot") + 0.5 * F.col("typical")) & (F.length("text") >= 2) & ~F.lower("text").rlike(r"^[a-z]\)$") & ~gutter & ~text.prose(F.col("text"))
+    met = F.transform("_cols", lambda k, i: F.struct((F.least("x1", k["cx1"]) - F.greatest("x0", k["cx0"])).alias("o"), (-i).alias("i"), k["keyword"].alias("keyword"), (F.col("x1") - F.col("x0") <= 2.5 * F.greatest(k["w"], F.lit(1.0))).alias("fits")))
+    body = below.where(data).withColumn("_b", F.array_max(F.filter(met, lambda k: k["o"] > 0))).withColumn("_tol", F.greatest(F.lit(8.0), 0.65 * (F.col("y1") - F.col("y0"))))
+    placed = geometry.cluster_rows(body, [page], "cy", "cell_id", "_tol", ("text", "x0", "typical", "_foot", "_b")).where("_b.fits")
+    joined = placed.groupBy(page, "row_no", "typical", "_foot", F.col("_b.keyword").alias("keyword")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("value"), F.min("cy").alias("cy"))
+    by_row = joined.groupBy(page, "row_no", "typical", "_foot").agg(F.min("cy").alias("cy"), F.collect_list(F.struct("keyword", "value")).alias("_v")).where(F.size("_v") >= least_values)
+    kept = until_gap(by_row, [page], "cy", "typical", "_foot").withColumn("row_no", F.row_number().over(sheet.orderBy("cy")))
+    return kept.select(page, "row_no", F.inline("_v"))
 
 
 def text_tables(lines: DataFrame, dictionary: DataFrame, key: str = "doc_id", least: int = 2) -> DataFrame:

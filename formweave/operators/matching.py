@@ -58,6 +58,24 @@ def covered(labels: DataFrame, label: str, dictionary: DataFrame, least: int = 6
     return hits.groupBy(*labels.columns).agg(F.max_by("keyword", F.struct(F.length("alias_norm"), -F.col("ord"))).alias("keyword"))
 
 
+def covering(labels: DataFrame, label: str, dictionary: DataFrame, least: int = 6, share: float = 0.5) -> DataFrame:
+    """Adds `keyword` as `covered` finds it, else null, in one projection: the aliases ride along as an array."""
+    rows = dictionary.where(F.length("alias_norm") >= least).select("alias_norm", "keyword", "ord").distinct().orderBy("ord").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError("the dictionary has more aliases than configuration should")
+    if not rows:
+        return labels.withColumn("keyword", F.lit(None).cast("string"))
+    aliases = F.array(*(F.struct(F.lit(r["alias_norm"]).alias("a"), F.lit(r["keyword"]).alias("k"), F.lit(int(r["ord"])).alias("o")) for r in rows))
+    n = F.col("_n")
+
+    def hit(x):
+        cover = F.least(F.length(n), F.length(x["a"])) / F.greatest(F.length(n), F.length(x["a"]))
+        return (n.contains(x["a"]) | x["a"].contains(n)) & (cover >= share)
+
+    best = F.array_max(F.transform(F.filter(aliases, hit), lambda x: F.struct(F.length(x["a"]).alias("l"), (-x["o"]).alias("o"), x["k"].alias("k"))))
+    return labels.withColumn("_n", text.normalize_label(F.col(label))).withColumn("keyword", F.when(F.length("_n") >= least, best["k"])).drop("_n")
+
+
 def contextual(labels: DataFrame, label: str, context: str, dictionary: DataFrame) -> DataFrame:
     """Labels with the first contextual keyword whose label is equal and whose context phrase is near."""
     norm = labels.withColumn("_n", text.normalize_label(F.col(label)))

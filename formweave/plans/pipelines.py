@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from formweave.functions import text
-from formweave.operators import compose, fields, schema
+from formweave.operators import compose, fields, images, schema
 from formweave.plans.forms import _LABEL, mark_values, rule_values, section_values
 from formweave.plans.queries import _FIELDS, NORM, _values
 from formweave.plans.registry import ORACLES, query
@@ -113,3 +115,24 @@ def form_schemas(spark, sf):
     made = F.array(*(F.struct(F.lit("Items").alias("table_name"), F.lit(i).alias("ord"), F.lit(c).alias("column"), F.lit(label).alias("label")) for i, (c, label) in enumerate([("Status", "Order Status"), ("Quantity", "Quantity")])))
     columns = _docs(spark, sf).select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
     return compose.form_schema(layout.unionByName(pairs).unionByName(ticks), columns)
+
+
+@query("select doc_id, 32 / 96::double as cx, 64 / 96::double as cy from labels where quality = 1 union all select doc_id, 72 / 96::double, 24 / 96::double from labels where toxic = 1")
+def box_centers(spark, sf):
+    """Draws two thin boxes per label, filled in part where it says so, and finds those that are ticked."""
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for d, *says in zip(b["doc_id"], b["quality"], b["toxic"], strict=True):
+                g = np.full((96, 96), 255, np.uint8)
+                g[88:92, 4:80] = 0  # a rule, no box
+                for on, (x, y) in zip(says, ((32, 64), (72, 24)), strict=True):
+                    g[y - 15 : y + 15, [x - 15, x + 14]] = 0
+                    g[[y - 15, y + 14], x - 15 : x + 15] = 0
+                    if on == 1:
+                        g[y - 7 : y + 7, x - 7 : x + 7] = 0
+                out += [(d, cx, cy) for cx, cy in images.box_centers(g)]
+            yield pd.DataFrame(out, columns=["doc_id", "cx", "cy"])
+
+    return table(spark, sf, "labels").select("doc_id", "quality", "toxic").mapInPandas(rows, "doc_id bigint, cx double, cy double")
