@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Box:
+    """A box of a fixed template: what it answers for its keyword, and where it is in shares of the page."""
+
+    page_no: int
+    keyword: str
+    kind: str
+    ord: int
+    answer: str
+    cx: float
+    cy: float
+    size: float
 
 
 def otsu(gray: np.ndarray) -> int:
@@ -87,3 +107,30 @@ def box_centers(gray: np.ndarray, least: int = 8, most: int = 70, ratio: tuple[f
             if not any(abs(x - a) < apart and abs(y - b) < apart for a, b in found):
                 found.append((x, y))
     return found
+
+
+def template_values(pages: DataFrame, boxes: list[Box], key: str = "doc_id") -> DataFrame:
+    """key, keyword, value of the ticked template boxes on pages (key, page_no, width, height, gray).
+
+    Of options the first ticked one counts, YES and NO together are BOTH, and of pages the last with a tick. Pages
+    without a template or with an unreadable raster answer nothing. The template is configuration and rides along.
+    """
+    by_page: dict[int, list[Box]] = {}
+    for b in boxes:
+        by_page.setdefault(b.page_no, []).append(b)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, page_no, w, h, gray in batch.itertuples(index=False):
+                if gray is None or not w * h or len(gray) != w * h:
+                    continue
+                page = np.frombuffer(gray, np.uint8).reshape(int(h), int(w))
+                out += [(k, page_no, b.keyword, b.kind, b.ord, b.answer) for b in by_page.get(page_no, ()) if ticked(page, b.cx, b.cy, b.size)]
+            yield pd.DataFrame(out, columns=[key, "page_no", "keyword", "kind", "ord", "answer"])
+
+    kind_of_key = dict(pages.dtypes)[key]
+    marks = pages.select(key, "page_no", "width", "height", "gray").mapInPandas(rows, f"{key} {kind_of_key}, page_no int, keyword string, kind string, ord int, answer string")
+    one = marks.groupBy(key, "page_no", "keyword", "kind").agg(F.count_distinct("ord").alias("n"), F.min_by("answer", "ord").alias("first"))
+    value = F.when((F.col("kind") == "yesno") & (F.col("n") > 1), "BOTH").otherwise(F.col("first"))
+    return one.groupBy(key, "keyword").agg(F.max_by(value, "page_no").alias("value"))

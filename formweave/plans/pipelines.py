@@ -136,3 +136,32 @@ def box_centers(spark, sf):
             yield pd.DataFrame(out, columns=["doc_id", "cx", "cy"])
 
     return table(spark, sf, "labels").select("doc_id", "quality", "toxic").mapInPandas(rows, "doc_id bigint, cx double, cy double")
+
+
+_TEMPLATE = [
+    images.Box(0, "good", "yesno", 0, "YES", 0.25, 0.25, 0.2), images.Box(0, "good", "yesno", 1, "NO", 0.75, 0.25, 0.2),
+    images.Box(0, "tone", "option", 0, "harsh", 0.25, 0.75, 0.2), images.Box(0, "tone", "option", 1, "any", 0.75, 0.75, 0.2),
+    images.Box(1, "good", "single", 0, "YES", 0.5, 0.5, 0.2),
+]
+
+
+@query(
+    """select doc_id, 'good' as keyword, case when quality = 1 and toxic = 1 then 'BOTH' when quality = 1 then 'YES' else 'NO' end as value from labels where quality = 1 or toxic = 1
+    union all select doc_id, 'tone', case when toxic = 1 then 'harsh' else 'any' end from labels"""
+)
+def template_values(spark, sf):
+    """Pages drawn with ticks at the places of a fixed template, read back by it."""
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for d, q, t in zip(b["doc_id"], b["quality"], b["toxic"], strict=True):
+                g = np.full((80, 80), 255, np.uint8)
+                for on, (x, y) in ((q, (20, 20)), (t, (60, 20)), (t, (20, 60)), (1, (60, 60))):
+                    if on == 1:
+                        g[y - 4 : y + 4, x - 4 : x + 4] = 0
+                out.append((d, 0, 80, 80, g.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "page_no", "width", "height", "gray"])
+
+    drawn = table(spark, sf, "labels").select("doc_id", "quality", "toxic").mapInPandas(rows, "doc_id bigint, page_no int, width int, height int, gray binary")
+    return images.template_values(drawn, _TEMPLATE)

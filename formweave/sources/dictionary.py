@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formweave.functions import text
+from formweave.operators.images import Box
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, list[str], str]]) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +43,30 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, flo
     return plain, ctx, float(head["t"])
 
 
+def read_template(spark: SparkSession, path: str, size: float = 0.026) -> list[Box]:
+    """Boxes of a template file, `{"templates": ...}` or the bare map of pages; an unreadable file has none."""
+    text_ = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        read = json.loads(text_)
+    except ValueError:
+        return []
+    pages = read.get("templates", read) if isinstance(read, dict) else {}
+    out: list[Box] = []
+    for page, fields in pages.items():
+        number = page.removeprefix("page")
+        if not number.isdigit() or not isinstance(fields, dict):
+            continue
+        for keyword, spec in fields.items():
+            kind = spec.get("type")
+            answers = {
+                "single": [(spec.get("value", "YES"), spec.get("coord"))],
+                "yesno": [("YES", spec.get("yes")), ("NO", spec.get("no"))],
+                "option": [(o.get("label", ""), o.get("coord")) for o in spec.get("options", [])],
+            }.get(kind, [])
+            out += [Box(int(number), keyword, kind, i, answer, float(at[0]), float(at[1]), float(spec.get("box_size", size))) for i, (answer, at) in enumerate(answers) if at]
+    return out
+
+
 def ocr_cells(payloads: DataFrame, key: str = "doc_id", column: str = "payload") -> DataFrame:
     """Cells of OCR results: parallel arrays zipped, blank texts dropped, boxes from polygons where boxes lack.
 

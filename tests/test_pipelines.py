@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["promoted_values", "canonical_fields", "column_claims", "plausible_values", "form_schemas", "box_centers", "geometric_tables"])
+@pytest.mark.parametrize("name", ["promoted_values", "canonical_fields", "column_claims", "plausible_values", "form_schemas", "box_centers", "template_values", "geometric_tables"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in "customer orders lineitem labels".split():
@@ -91,3 +91,16 @@ def test_components():
     u = np.zeros((5, 5), bool)
     u[:, [0, 4]] = u[4] = True
     assert images.components(u).tolist() == [[0, 0, 5, 5]]
+
+
+def test_templates(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"templates": {"page0": {"a": {"type": "single", "coord": [0.5, 0.5], "box_size": 0.4}, "b": {"type": "odd"}}, "page1": {"a": {"type": "option", "options": [{"label": "x"}, {"label": "y", "coord": [0.5, 0.5]}], "box_size": 0.4}}}}')
+    boxes = dictionary.read_template(spark, str(tmp_path / "t.json"))
+    assert [(b.page_no, b.keyword, b.answer, b.size) for b in boxes] == [(0, "a", "YES", 0.4), (1, "a", "y", 0.4)]
+    (tmp_path / "bad.json").write_text("{")
+    assert dictionary.read_template(spark, str(tmp_path / "bad.json")) == []
+    g = np.full((40, 40), 255, np.uint8)
+    g[16:24, 16:24] = 0
+    page = bytearray(g.tobytes())
+    df = spark.createDataFrame([(1, 0, 40, 40, page), (1, 1, 40, 40, page), (2, 0, 40, 40, page), (3, 0, 40, 40, None), (4, 7, 40, 40, page)], "doc_id bigint, page_no int, width int, height int, gray binary")
+    assert {r["doc_id"]: r["value"] for r in images.template_values(df, boxes).collect()} == {1: "y", 2: "YES"}
