@@ -2,14 +2,16 @@
 
 A document's set holds the hashes of its distinct 5-word shingles. Documents with equal sets are
 folded into one node first, so copies never meet in a join. Of 128 minima per node, 96 form 24 bands
-of four, and the two low bits of all 128 are packed into a 256-bit signature. Nodes that share a band
+of four (all 128 form 32 bands where the threshold is 0.80), and the two low bits of all 128 are packed into a 256-bit signature. Nodes that share a band
 are candidates; the signatures' matching bits, corrected for chance collisions, estimate their
 similarity. Candidates at `floor` or above hang together in candidate groups. In these the estimate
 again picks the pairs to compare, and full sets decide; pairs already connected need no test.
 
-Losses: a pair at the threshold of 0.85 shares no band with a chance of (1 - 0.85^4)^24 = 2e-8, and
-its estimate, with a standard deviation of 0.037, falls below the floor of 0.66 with 1e-7. More similar
-pairs are lost less often still. Everything else is exact up to 64-bit hash collisions.
+Losses: bands and floor follow from the threshold. A pair at 0.85 shares no band with a chance of
+(1 - 0.85^4)^24 = 2e-8, one at 0.80 with (1 - 0.80^4)^32 = 5e-8. The floor is the highest that an
+estimate at the threshold misses with at most 1e-7, by the binomial of matching minima: 0.625 for 0.85,
+0.552 for 0.80. More similar pairs are lost less often still. Below 0.80 the minima do not suffice and
+the threshold is refused. Everything else is exact up to 64-bit hash collisions.
 
 Groups are cut into blocks of bounded size, and a task compares two blocks. Tasks emit a star per
 local component and never pairs.
@@ -22,6 +24,7 @@ Extra columns are ignored by the report and kept by the filter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +35,33 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise, mix, word_slices
 from .components import connected_components
 
-SHINGLE, MINIMA, BANDS, ROWS = 5, 128, 24, 4
-FLOOR = 0.66
+SHINGLE, MINIMA, ROWS, LOSS = 5, 128, 4, 1e-7
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
 BROADCAST_NODES = 200_000
 _MULTIPLIERS = np.random.default_rng(20_240_601).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIG = ["s0", "s1", "s2", "s3"]
 
 
+def bands_for(percent: int) -> int:
+    """Bands such that a pair at the threshold shares none with a chance of LOSS at most; 24 at least."""
+    bands = max(24, math.ceil(math.log(LOSS) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 24
+    bands = -(-bands // 8) * 8
+    if bands * ROWS > MINIMA:
+        raise ValueError(f"{MINIMA} minima do not find pairs at {percent} percent")
+    return bands
+
+
+def floor_for(percent: int) -> float:
+    """The highest estimate that a pair at the threshold falls below with a chance of LOSS at most."""
+    match, below, k = 0.25 + 0.75 * percent / 100, 0.0, 0
+    while k < MINIMA and (below := below + math.comb(MINIMA, k) * match**k * (1 - match) ** (MINIMA - k)) <= LOSS:
+        k += 1
+    return (k / MINIMA - 0.25) / 0.75
+
+
+BANDS, FLOOR = bands_for(85), floor_for(85)
+
+
 def distinct_shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, distinct shingle hashes in ascending order per row, and row offsets."""
     for i, j, w in word_slices(column):
@@ -49,13 +71,13 @@ def distinct_shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, (np.concatenate(parts) if parts else h), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (rows, BANDS) and packed low bits (rows, 4) of rows that have shingles."""
+def signatures(h: np.ndarray, off: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (rows, bands) and packed low bits (rows, 4) of rows that have shingles."""
     minima = np.empty((len(off) - 1, MINIMA), np.uint64)
     for k in range(MINIMA):
         minima[:, k] = np.minimum.reduceat(h * _MULTIPLIERS[k], off[:-1])
-    keys = np.empty((len(minima), BANDS), np.uint64)
-    for b in range(BANDS):
+    keys = np.empty((len(minima), bands), np.uint64)
+    for b in range(bands):
         x = np.full(len(minima), b + 1, np.uint64)
         for r in range(ROWS):
             x = mix(x * np.uint64(0x9DDFEA08EB382D69) + minima[:, b * ROWS + r])
@@ -72,7 +94,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((MINIMA - differ) / MINIMA - 0.25) / 0.75
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """doc_id, n, 128-bit set fingerprint f0 and f1, signature and band keys of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,16 +104,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                 full = n > 0
                 f = np.zeros((2, j - i), np.uint64)
                 sig = np.zeros((j - i, 4), np.uint64)
-                keys = np.zeros((j - i, BANDS), np.uint64)
+                keys = np.zeros((j - i, bands), np.uint64)
                 if full.any():
                     starts = np.append(off[:-1][full], off[-1])
                     for k in range(2):
                         f[k, full] = np.add.reduceat(mix(h + np.uint64(k), 0xD6E8FEB86659FD93 + 2 * k), starts[:-1])
-                    keys[full], sig[full] = signatures(h, starts)
-                lists = np.where(full, BANDS, 0)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
+                    keys[full], sig[full] = signatures(h, starts, bands)
+                lists = np.where(full, bands, 0)
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
                 fixed = [pa.array(x.view(np.int64)) for x in (f[0], f[1], *np.ascontiguousarray(sig.T))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *fixed, bands], ["doc_id", "n", "f0", "f1", *_SIG, "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *fixed, listed], ["doc_id", "n", "f0", "f1", *_SIG, "bands"])
 
     schema = "doc_id bigint, n bigint, f0 bigint, f1 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
     return map_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), rows, schema)
@@ -139,7 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Reco
         yield held
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, floor: float = FLOOR) -> DataFrame:
     """Edges u, v that tie the nodes of each candidate group together.
 
     Buckets of up to BLOCK_NODES nodes are compared by signature. A larger bucket is tied into one
@@ -148,13 +170,13 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(F.explode("bands").alias("key"), "rep", *_SIG).repartition("key").sortWithinPartitions("key", "rep")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, v in _bucket_edges(batches):
+        for u, v in _bucket_edges(batches, floor):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return map_arrow(rows, kernel, "u bigint, v bigint").distinct()
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bucket_edges(batches: Iterator[pa.RecordBatch], floor: float = FLOOR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     key0, first, window = None, None, None
     for batch in batches:
         if not batch.num_rows:
@@ -181,26 +203,26 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
             rest = slice(tail, tail + 1)
         else:
             rest = slice(tail, None)
-        yield from _compare(key[:tail], ids[:tail], sig[:tail])
+        yield from _compare(key[:tail], ids[:tail], sig[:tail], floor)
         window = key[rest], ids[rest], sig[rest]
     if window is not None:
-        yield from _compare(*window)
+        yield from _compare(*window, floor)
 
 
-def _compare(key: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if len(key) < 2:
         return
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(start, len(key)))
     two = start[size == 2]
-    near = similarity(sig[two], sig[two + 1]) >= FLOOR
+    near = similarity(sig[two], sig[two + 1]) >= floor
     yield ids[two + 1][near], ids[two][near]
     for a, n in zip(start[size > 2], size[size > 2], strict=True):
         own, s = ids[a : a + n], sig[a : a + n]
         groups = _Union(n)
         for i in range(n - 1):
             other = np.flatnonzero(groups.root[i + 1 :] != groups.root[i]) + i + 1
-            hit = other[similarity(s[other], s[i]) >= FLOOR] if len(other) else other
+            hit = other[similarity(s[other], s[i]) >= floor] if len(other) else other
             if len(hit):
                 groups.join(i, hit)
         yield _stars(own, groups.root)
@@ -211,7 +233,7 @@ def linked(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], block: np.n
     n = len(ids)
     size = np.fromiter(map(len, sets), np.int64, n)
     groups = _Union(n)
-    across = len(np.unique(block)) > 1
+    across, floor = len(np.unique(block)) > 1, floor_for(percent)
     for i in range(n):
         pick = groups.root != groups.root[i]
         pick[: i + 1] = False
@@ -222,7 +244,7 @@ def linked(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], block: np.n
             continue
         small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
         other = other[(100 * small >= percent * large)]
-        other = other[similarity(sig[other], sig[i]) >= FLOOR]
+        other = other[similarity(sig[other], sig[i]) >= floor]
         if not len(other):
             continue
         own = sets[i]
@@ -270,11 +292,11 @@ def verified_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    rows = materialise(sketch(docs), "sketch")
+    rows = materialise(sketch(docs, bands_for(percent)), "sketch")
     nodes = rows.where("n > 0").groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in (*_SIG, "bands")))
     nodes = materialise(nodes, "nodes")
     known = nodes.where("rep is not null")
-    groups = connected_components(candidate_edges(known))
+    groups = connected_components(candidate_edges(known, floor_for(percent)))
     parts = connected_components(verified_edges(docs, known, groups, percent)).withColumnRenamed("node", "cn")
     of = nodes.select("f0", "f1", "rep").join(parts, F.col("rep") == F.col("cn"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("least"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("f0")).alias("r0"), F.col("f1").alias("r1"))
