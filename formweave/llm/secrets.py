@@ -6,6 +6,11 @@ for each piece after the first. It is found by dynamic programming over the valu
 `summer2024` is cheap and `xK9v0qLz7TmB` is not. Values after a credential word that cost at least
 `min_bits` are reported as kind `guess`; the fixed patterns are reported whatever they cost.
 
+The dictionary ranks the words of the documents themselves, whatever their language, by the number of
+documents that hold them: words of 3 to 24 letters in at least MIN_WORD_DOCS documents, the MOST_WORDS
+most frequent of them. Values after credential words are left out of the count, so that a copied secret
+does not make itself a word. Fixed lists come before them. Words rarer than that cost brute force.
+
 Defined cases: a null text is empty and has no spans. Offsets are code points, ends exclusive.
 Repeated rows are scanned each. Extra columns are ignored. Whole texts and values are read.
 """
@@ -15,12 +20,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8
+from .common import map_arrow, materialise, utf8
 
 #: The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -46,6 +53,24 @@ COMMON_WORDS = (
     "example sample demo token apikey your here none null true false changeme company server system public private "
     "black white green blue orange purple silver gold tiger lion eagle flower cookie coffee money happy lucky star"
 ).split()
+#: Plain words that often follow a credential word, for corpora too small to count words in.
+PLAIN_WORDS = (
+    "the not required unavailable available invalid incorrect missing optional mandatory expired correct wrong needed necessary "
+    "recommended confidential important unfortunately understanding simple safe secure stored encrypted generated provided "
+    "given shown displayed hidden visible changed updated reset rejected accepted disabled enabled protected compromised "
+    "different unique identical case sensitive currently temporarily only always never usually sometimes also still "
+    "notwendig erforderlich ungültig falsch richtig abgelaufen verfügbar vertraulich geheim leider möglich unbekannt gesperrt "
+    "erfolgreich fehlgeschlagen empfohlen geschützt verschlüsselt gespeichert nötig wichtig sicher "
+    "requerido obligatorio inválido incorrecto necesario disponible confidencial secreto caducado desconocido recomendado importante "
+    "guardado cifrado seguro diferente temporalmente "
+    "obligatoire invalide incorrect nécessaire indisponible disponible confidentiel expiré inconnu recommandé important "
+    "enregistré chiffré sécurisé différent temporairement malheureusement"
+).split()
+FIXED_RANKS = {w: i for i, w in reversed(list(enumerate([*COMMON_WORDS, *PLAIN_WORDS], 1)))}
+#: The corpus dictionary: documents that hold a word at least, words kept at most, words that a task counts before it passes them on.
+MIN_WORD_DOCS, MOST_WORDS, FLUSH_WORDS = 3, 200_000, 300_000
+LONGEST_WORD = 24
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 #: Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _LEET = str.maketrans("013457@$", "oleastas")
@@ -58,14 +83,14 @@ def _rate(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33)
 
 
-def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
+def guess_bits(value: str, ranks: dict[str, int] | None = None, longest: int | None = None) -> float:
     """The least number of bits over all segmentations of `value`; 0 for an empty one.
 
     Time is linear in the length but for the bounded word and date windows: runs extend the best
     cost at their first character.
     """
-    ranks = ranks if ranks is not None else {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-    longest = max(map(len, ranks), default=0)
+    ranks = ranks if ranks is not None else FIXED_RANKS
+    longest = longest or max(map(len, ranks), default=0)
     n, low = len(value), value.lower()
     low = low if len(low) == n else value
     plain = low.translate(_LEET)
@@ -98,12 +123,12 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
     return best[n]
 
 
-def scan(text: str, min_bits: float = MIN_BITS, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
+def scan(text: str, min_bits: float = MIN_BITS, ranks: dict[str, int] | None = None, longest: int | None = None) -> list[tuple[int, int, int]]:
     """Spans (kind, start, end) of one text, sorted by start, then kind."""
     found = [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(1, m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
-    found += [(3, *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1], ranks) >= min_bits]
+    found += [(3, *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1], ranks, longest) >= min_bits]
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
@@ -111,9 +136,52 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def _hinted(low: bytes) -> bool:
+    return any(h in low for h in _HINTS)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word and n, the documents that hold it; a word may come several times."""
+    seen: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        data, off = utf8(batch.column(0))
+        for a, b in zip(off[:-1], off[1:], strict=True):
+            raw = data[a:b].tobytes()
+            text = raw.decode("utf-8", "replace")
+            if _hinted(raw.lower()):
+                text = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], text)
+            seen.update({w for w in _LETTERS.findall(text.lower()) if len(w) <= LONGEST_WORD})
+            if len(seen) >= FLUSH_WORDS:
+                yield out()
+                seen.clear()
+    if seen:
+        yield out()
+
+
+def word_ranks(docs: DataFrame, min_docs: int = MIN_WORD_DOCS, most: int = MOST_WORDS) -> dict[str, int]:
+    """The rank of each dictionary word: the fixed lists, and the words of all documents by falling document count."""
+    counts = map_arrow(docs.selectExpr("cast(text as string) text"), _word_counts, "word string, n bigint")
+    counts = materialise(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs), "words")
+    # words of one count come in or stay out together
+    least, total = min_docs, 0
+    for n, words in sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):
+        total += words
+        if total > most:
+            least = n + 1
+            break
+    got = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    ranks = {w: i for i, w in enumerate(got["word"].to_pylist(), 1)}
+    return ranks | {w: min(i, ranks.get(w, i)) for w, i in FIXED_RANKS.items()}
+
+
 def scan_documents(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     """doc_id, the count of each base kind, the digest of the base spans, and all spans, for every document."""
-    ranks = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+    ranks = word_ranks(docs)
+    longest = max(map(len, ranks))
     none = hashlib.sha256(b"").hexdigest()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +192,8 @@ def scan_documents(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
                 raw = data[a:b].tobytes()
                 low = raw.lower()
                 spans = []
-                if any(h in low for h in _HINTS) or b"AKIA" in raw or b"h" * 32 in raw.translate(_HEX_MAP):
-                    spans = scan(raw.decode("utf-8", "replace"), min_bits, ranks)
+                if _hinted(low) or b"AKIA" in raw or b"h" * 32 in raw.translate(_HEX_MAP):
+                    spans = scan(raw.decode("utf-8", "replace"), min_bits, ranks, longest)
                 base = [s for s in spans if s[0] < 3]
                 for k in range(3):
                     counts[k].append(sum(s[0] == k for s in base))
