@@ -33,28 +33,42 @@ _BREAK[[ord(c) for c in ".!?\n"]] = True
 
 PREFIXES = (4, 5)
 SLOT_BITS = 18
-COUNT_BITS = 21
 
 
 @dataclass
 class Model:
-    """A table of 2^SLOT_BITS feature hashes and weights, and the bias of a sentence; a few MB at any corpus size."""
+    """Feature hashes in ascending order, their weights, and the bias of a sentence; a few MB at any corpus size."""
 
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    taken: np.ndarray
 
     @staticmethod
     def of(hashes: np.ndarray, weights: np.ndarray, bias: float) -> Model:
-        keys, table = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS)
-        order = np.argsort(np.abs(weights), kind="stable")  # of two features in one slot the heavier one stays
-        slot = hashes[order] >> np.uint64(64 - SLOT_BITS)
-        keys[slot], table[slot] = hashes[order], weights[order]
-        return Model(keys, table, bias)
+        order = np.argsort(hashes)
+        return Model(hashes[order], weights[order], bias, _taken(hashes))
 
     def weigh(self, h: np.ndarray) -> np.ndarray:
-        slot = h >> np.uint64(64 - SLOT_BITS)
-        return np.where(self.keys[slot] == h, self.weights[slot], 0.0)
+        out = np.zeros(len(h))
+        where, at = _find(self.keys, self.taken, h)
+        out[where] = self.weights[at]
+        return out
+
+
+def _taken(keys: np.ndarray) -> np.ndarray:
+    """Which of 2^SLOT_BITS slots hold a key at all."""
+    taken = np.zeros(1 << SLOT_BITS, bool)
+    taken[keys >> np.uint64(64 - SLOT_BITS)] = True
+    return taken
+
+
+def _find(keys: np.ndarray, taken: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in h that hold a key, and which one; the slots only spare the search of most others."""
+    where = np.flatnonzero(taken[h >> np.uint64(64 - SLOT_BITS)])
+    at = np.searchsorted(keys, h[where])
+    hit = keys[np.minimum(at, len(keys) - 1)] == h[where] if len(keys) else np.zeros(len(where), bool)
+    return where[hit], at[hit]
 
 
 def _untaught() -> Model:
@@ -89,29 +103,41 @@ def fit(texts: pa.Array, toxic: np.ndarray, max_features: int = 50_000, min_docs
     if not len(y) or y.min() == y.max():
         return _untaught()
 
-    def parts() -> Iterator[tuple]:
+    def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         """Per range of rows: first row, rows of its sentences, and hash and sentence of each feature."""
         for i, j in slices(offsets):
             w, first, row = sentences(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.hash))))
             yield row + i, [(h, of) for h in (w.hash, *(w.prefixes(k) for k in PREFIXES))]
 
-    # a first pass counts documents by hash slot, so that memory is bounded by the slots and not by the vocabulary;
-    # only features of promising slots are gathered
-    share, slots = y.mean(), 1 << COUNT_BITS
-    df, toxic_df = np.zeros(slots), np.zeros(slots)
-    for row, found in parts():
+    # z can reach min_z only with so many toxic documents, so that their features alone are listed; these
+    # are counted over all documents, and only the features of promising counts are gathered
+    share = y.mean()
+    pairs = [np.zeros(0, np.uint64)]
+    for row, found in parts(*utf8(texts.filter(pa.array(y > 0)))):
+        h, of = np.concatenate([h for h, _ in found]), np.concatenate([row[of] for _, of in found])
+        order = np.lexsort((of, h))
+        h, of = h[order], of[order]
+        pairs.append(h[np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]])
+    listed, toxic_df = np.unique(np.concatenate(pairs), return_counts=True)
+    able = toxic_df * (1 - share) >= min_z**2 * share * (1 - 1e-9)
+    listed, toxic_df = listed[able], toxic_df[able]
+    taken, df = _taken(listed), np.zeros(len(listed), np.int64)
+    size = max(1, len(listed))
+    for row, found in parts(data, offsets):
+        got = []
         for h, of in found:
-            seen = np.unique((row[of] << COUNT_BITS) | (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
-            df += np.bincount(seen & (slots - 1), minlength=slots)
-            toxic_df += np.bincount(seen & (slots - 1), y[seen >> COUNT_BITS], slots)
-    chosen = _excess(df, toxic_df, share) >= min_z
+            where, at = _find(listed, taken, h)
+            got.append(row[of[where]] * np.int64(size) + at)
+        df += np.bincount(np.unique(np.concatenate(got)) % size, minlength=len(listed))[: len(listed)]
+    chosen = listed[(_excess(df, toxic_df, share) >= min_z) & (df >= min_docs)]
+    taken = _taken(chosen)
     feats, sents, doc, n_sent = [], [], [], 0
-    for row, found in parts():
+    for row, found in parts(data, offsets):
         for h, of in found:
-            use = chosen[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-            feats.append(h[use])
-            sents.append(of[use] + n_sent)
+            where, _ = _find(chosen, taken, h)
+            feats.append(h[where])
+            sents.append(of[where] + n_sent)
         doc.append(row)
         n_sent += len(row)
     feats, sents, doc = np.concatenate(feats), np.concatenate(sents), np.concatenate(doc)
