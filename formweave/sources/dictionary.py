@@ -70,16 +70,19 @@ def read_template(spark: SparkSession, path: str, size: float = 0.026) -> list[B
 def ocr_cells(payloads: DataFrame, key: str = "doc_id", column: str = "payload") -> DataFrame:
     """Cells of OCR results: parallel arrays zipped, blank texts dropped, boxes from polygons where boxes lack.
 
-    A payload that is no JSON has no cells; one without geometry gets a line per text.
+    A payload that is no JSON has no cells; one without geometry gets a line per text. Without texts at
+    the top level those under `overall_ocr_res` are read, with its geometry where the top level has none.
     """
     v = F.expr(f"coalesce(try_variant_get(try_parse_json({column}), '$.res', 'variant'), try_parse_json({column}))")
-    got = payloads.select(key, v.alias("v")).select(
+    kinds = {"texts": "array<string>", "scores": "array<double>", "boxes": "array<array<double>>", "polys": "array<array<array<double>>>"}
+    filled = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
+    both = payloads.select(key, v.alias("v")).select(
         key,
-        F.expr("try_variant_get(v, '$.rec_texts', 'array<string>')").alias("t"),
-        F.expr("try_variant_get(v, '$.rec_scores', 'array<double>')").alias("s"),
-        F.expr("try_variant_get(v, '$.rec_boxes', 'array<array<double>>')").alias("b"),
-        F.expr("try_variant_get(v, '$.rec_polys', 'array<array<array<double>>>')").alias("p"),
+        *(F.when(F.size(filled(f"rec_{n}", k)) > 0, filled(f"rec_{n}", k)).alias(n) for n, k in kinds.items()),
+        *(filled(f"overall_ocr_res.rec_{n}", k).alias(f"under_{n}") for n, k in kinds.items()),
     )
+    fall = F.col("texts").isNull()
+    got = both.select(key, *(F.when(fall, F.coalesce(n, f"under_{n}")).otherwise(F.col(n)).alias(n[0]) for n in kinds))
     cells = got.select(key, F.posexplode("t").alias("cell_id", "text"), "s", "b", "p").where(text.clean_value(F.col("text")) != "")
     poly = F.get("p", F.col("cell_id"))
     box = F.get("b", F.col("cell_id"))
