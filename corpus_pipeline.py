@@ -49,7 +49,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Learning, MinHash, tiling and flows are no SQL; tests hold the stages against brute-force versions.
+#: Learning, MinHash, tiling and flows are no SQL; tests hold the first three stages against plain versions, sharding by its rows.
 ORACLE_SQL = None
 
 

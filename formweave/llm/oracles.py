@@ -2,7 +2,7 @@
 
 Each statement states the definition plainly and shares no method with its operator: all windows are
 compared as strings, all pairs by their shingles. The others learn, tile, solve flows, run dynamic
-programs or commit files; tests hold them against brute force.
+programs or commit files; the README says how tests hold each of them.
 """
 
 from __future__ import annotations
