@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,24 +31,65 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands in, but on a local master alone: the executors of a
+    cluster would each write to their own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set, and the executors share no other folder")
         found = tempfile.mkdtemp(prefix="formweave-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which is deleted when the driver ends at the latest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def exchanges_dropped(spark: SparkSession):
+    """Inside, Spark drops the exchange files of a query as soon as its output is written; the setting is put back after."""
+    old = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, old)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(spark, name)
+    with exchanges_dropped(spark):
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.formweave_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the folders of tables that `materialise` returned and that nothing reads any more."""
+    for df in written:
+        drop_path(df.sparkSession, df.formweave_path)
 
 
 def map_arrow(df: DataFrame, rows, schema: str | StructType) -> DataFrame:
@@ -58,9 +100,15 @@ def map_arrow(df: DataFrame, rows, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(rows, schema)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as its object."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 _SEP = np.zeros(256, bool)
@@ -97,7 +145,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a text column; null rows are empty."""
-    arr = pc.fill_null(column.cast(pa.large_string()), "")
+    return _bytes(pc.fill_null(column.cast(pa.large_string()), ""))
+
+
+def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of a binary column; null rows are empty."""
+    return _bytes(pc.fill_null(column.cast(pa.large_binary()), b""))
+
+
+def _bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(arr)
     if n == 0 or arr.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)

@@ -11,12 +11,19 @@ suffixes are sorted once into a Burrows-Wheeler transform, and the transforms ar
 interleave refinement: the interleave of suffixes by their first d bytes, read through the transforms
 and distributed stably by the preceding bytes, is the interleave by d + step bytes. Only the shard
 number of each suffix is moved; suffixes are not sorted again. Where neighbours part at a step their
-common prefix ends there, and the blocks left at `length` bytes are the repeated intervals. In each,
-the window with the smallest (doc_id, start) stays.
+common prefix ends there, and neighbours that never part within `length` bytes are the repeated
+intervals. In each, the window with the smallest (doc_id, start) stays.
+
+A gram with more than `hot` distinct segments is split by more of its context: its windows pick again,
+by their least-hashed gram of DEEPER bytes, and their segments are folded and merged like the first
+ones. What is hot even then is split into single windows, of which equal ones fold. So a task merges
+at most `hot` segments of one gram, and nothing is left out.
 
 Defined cases: null and empty texts have no bytes, nothing removed and the digest of nothing. Texts
-shorter than `length` lose nothing. Rows repeated under one doc_id are one document and do not match
-each other. Rows with a null doc_id match nothing and stay whole. Extra columns are ignored.
+shorter than `length` lose nothing. Rows with equal doc_id and text are one document and do not match
+each other. Rows of one doc_id with different texts are documents of their own, ordered by the 64-bit
+hash of their text. Rows with a null doc_id match nothing and stay whole. An empty table gives an
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix, powers, slices, utf8
+from .common import binary, discard, map_arrow, materialise, mix, powers, slices, utf8
 
-LENGTH, K = 100, 24
+LENGTH, K, DEEPER = 100, 24, 72
+#: Distinct segments of one gram that a task merges at most.
+HOT = 2048
+#: Repeated ids are broadcast up to this number, 8 bytes each.
+BROADCAST_IDS = 1_000_000
 STEP = 16
 SHARD_BYTES = 1 << 15
 COLLECTION_BYTES = 1 << 17
@@ -206,7 +217,8 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray, length: int = LENGTH,
     text = np.frombuffer(b"".join(parts), np.uint8)
     cut = np.searchsorted(ends, np.arange(shard_bytes, ends[-1] + shard_bytes, shard_bytes))
     shards = np.unique(ends[np.minimum(cut, len(ends) - 1)])
-    merged, block, _ = merge_transforms(text, ends, shards, length)
+    merged, _, parted = merge_transforms(text, ends, shards, length)
+    block = np.cumsum(parted >= 0)
     seg = np.repeat(np.arange(len(size)), size)
     full = np.repeat(ends, size) - np.arange(len(text)) >= length
     window = full[merged]
@@ -219,80 +231,112 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray, length: int = LENGTH,
     return [again[e - n : e - length + 1] for e, n in zip(ends, size, strict=True)]
 
 
+_SEGMENT = ["key", "h", "g", "doc", "tag", "sn"]
+_FOUND = "key bigint, h bigint, g bigint, doc bigint, tag bigint, sn bigint"
+
+
+def _dealt(h: np.ndarray, g: np.ndarray, doc: np.ndarray, tag: np.ndarray, sn: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Places of distinct segments, and their columns: what is there twice is folded (gram null), with a key of its own for the exchange."""
+    order = np.lexsort((sn, tag, doc, g, h))
+    doc, tag, h, g, sn = doc[order], tag[order], h[order], g[order], sn[order]
+    same, twice = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    same[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+    twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (sn[1:] == sn[:-1])
+    use = ~twice
+    key = np.where(same, mix(doc.astype(np.uint64) * np.uint64(31) + sn.astype(np.uint64)), h)
+    gram = pa.array(h[use].view(np.int64), mask=same[use])
+    return order[use], [pa.array(key[use].view(np.int64)), gram, pa.array(g[use].view(np.int64)), *(pa.array(x[use].astype(np.int64)) for x in (doc, tag, sn))]
+
+
 def _found(length: int):
-    """Segments of each row; what a batch holds twice is folded there (gram null), with a key of its own for the exchange."""
+    """Segments of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, off = utf8(batch.column(2))
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             parts = []
             for i, j in slices(off):
                 row, h, g, start, count = segments(data[off[i] : off[j]], off[i : j + 1] - off[i], length)
-                parts.append((ids[row + i], h, g, (start << 8) | count))
-            if not parts:
-                continue
-            doc, h, g, sn = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((sn, doc, g, h))
-            doc, h, g, sn = doc[order], h[order], g[order], sn[order]
-            same = np.zeros(len(doc), bool)
-            same[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-            twice = np.zeros(len(doc), bool)
-            twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (sn[1:] == sn[:-1])
-            use = ~twice
-            key = np.where(same, mix(doc.astype(np.uint64) * np.uint64(31) + sn.astype(np.uint64)), h)
-            gram = pa.array(h[use].view(np.int64), mask=same[use])
-            yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), gram, pa.array(g[use].view(np.int64)), pa.array(doc[use].astype(np.int64)), pa.array(sn[use])], ["key", "h", "g", "doc", "sn"])
+                parts.append((h, g, ids[row + i], tags[row + i], (start << 8) | count))
+            if parts:
+                yield pa.RecordBatch.from_arrays(_dealt(*(np.concatenate(c) for c in zip(*parts, strict=True)))[1], _SEGMENT)
 
     return rows
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by (h, g, doc, sn): copies of a segment (h null), and first segments of grams that several segments hold.
+def _deeper(length: int, k: int):
+    """The segments that the windows of segments form when they pick a k-gram, with their bytes; the first gram stays part of the key."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = binary(batch.column(4))
+            first, doc, tag, sn = (batch.column(c).to_numpy() for c in range(4))
+            for i, j in slices(off, 1 << 18):
+                row, h, g, start, count = segments(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
+                row = row + i
+                begin, own = off[row] + start, mix(h ^ (first[row].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+                at, columns = _dealt(own, g, doc[row], tag[row], (((sn[row] >> 8) + start) << 8) | count)
+                wanted = columns[1].is_valid().to_numpy(zero_copy_only=False)
+                bits = [data[x:y].tobytes() if w else b"" for x, y, w in zip(begin[at], begin[at] + count[at] + length - 1, wanted, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary())], [*_SEGMENT, "bytes"])
+
+    return rows
+
 
-    The state that passes from batch to batch is one row.
+def _fold(carry: bool):
+    """Of rows ordered by (h, g, doc, tag, sn): copies of a segment (h null), and first segments of grams that several segments hold.
+
+    `nth` counts the distinct segments of a gram from 0. The state that passes from batch to batch is two rows.
     """
-    last = held = None  # the last row, and a first segment whose gram has no second one so far
+    more = ["bytes"] if carry else []
 
-    def out(h: np.ndarray, mask: np.ndarray, doc: np.ndarray, sn: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, mask=mask), pa.array(doc), pa.array(sn)], ["h", "doc", "sn"])
+    def out(batch: pa.RecordBatch, at: np.ndarray, nth: np.ndarray | None) -> pa.RecordBatch:
+        got = batch.take(pa.array(at))
+        h = got["h"] if nth is not None else pa.nulls(len(at), pa.int64())
+        count = pa.array(nth if nth is not None else np.zeros(len(at)), pa.int32())
+        return pa.RecordBatch.from_arrays([h, got["doc"], got["tag"], got["sn"], count, *(got[c] for c in more)], ["h", "doc", "tag", "sn", "nth", *more])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-        h, g, doc, sn = (batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(4))
-        if (~known).any():
-            yield out(np.zeros((~known).sum(), np.int64), np.ones((~known).sum(), bool), doc[~known], sn[~known])
-            h, g, doc, sn = h[known], g[known], doc[known], sn[known]
-            if not len(h):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held = None  # the last row, and a first segment whose gram has no second one so far
+        nth = 0  # the place of the last row's segment in its gram
+        for batch in batches:
+            if batch["h"].null_count:
+                yield out(batch, np.flatnonzero(batch["h"].is_null().to_numpy(zero_copy_only=False)), None)
+                batch = batch.filter(batch["h"].is_valid())
+            if not batch.num_rows:
                 continue
-        if last is not None:
-            h, g, doc, sn = (np.append(x, y) for x, y in zip(last, (h, g, doc, sn), strict=True))
-        same_h, same = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        same_h[1:] = h[1:] == h[:-1]
-        same[1:] = same_h[1:] & (g[1:] == g[:-1])
-        twice = np.zeros(len(h), bool)
-        twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (sn[1:] == sn[:-1])
-        copy = same & ~twice
-        first = np.flatnonzero(~same)
-        if last is not None:
-            first = first[first > 0]
-        fh = h[first]
-        after = np.append(fh[1:] == fh[:-1], False)
-        before = same_h[first]
-        known_multi = after | before
-        if held is not None and len(first) and before[0]:
-            yield out(*(np.array([x]) for x in (held[0], False, held[1], held[2])))
-        if len(first):
-            held = None
-            if not known_multi[-1]:
-                held = (fh[-1], doc[first[-1]], sn[first[-1]])
-            use = first[known_multi]
-            yield out(h[use], np.zeros(len(use), bool), doc[use], sn[use])
-        if copy.any():
-            yield out(np.zeros(copy.sum(), np.int64), np.ones(copy.sum(), bool), doc[copy], sn[copy])
-        last = tuple(x[-1:] for x in (h, g, doc, sn))
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            h, g, doc, tag, sn = (batch[c].to_numpy() for c in ("h", "g", "doc", "tag", "sn"))
+            same_h, same, twice = (np.zeros(len(h), bool) for _ in range(3))
+            same_h[1:] = h[1:] == h[:-1]
+            same[1:] = same_h[1:] & (g[1:] == g[:-1])
+            twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (sn[1:] == sn[:-1])
+            new = ~same
+            new[:1] = last is None
+            total = np.cumsum(new)
+            start = np.maximum.accumulate(np.where(same_h, 0, np.arange(len(h))))
+            place = total - total[start]
+            if last is not None:
+                place[start == 0] += nth
+            first = np.flatnonzero(new)
+            if len(first):
+                order = place[first]
+                shared = order > 0
+                shared[:-1] |= order[1:] > 0
+                if held is not None and order[0] > 0:
+                    yield out(held, np.zeros(1, np.int64), np.zeros(1))
+                held = None if shared[-1] else batch.slice(int(first[-1]), 1)
+                if shared.any():
+                    yield out(batch, first[shared], order[shared])
+            nth = int(place[-1])
+            copies = np.flatnonzero(same & ~twice)
+            if len(copies):
+                yield out(batch, copies, None)
+            last = batch.slice(len(h) - 1, 1)
+
+    return rows
 
 
 def _cut(length: int):
@@ -300,18 +344,17 @@ def _cut(length: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            wanted = batch.column(2)
-            at = np.repeat(off[:-1], np.diff(wanted.offsets.to_numpy()))
-            flat = wanted.flatten()
+            data, off = utf8(batch.column(2))
+            n = np.diff(batch.column(3).offsets.to_numpy())
+            flat = batch.column(3).flatten()
             sn, h = flat.field("sn").to_numpy(), flat.field("h").to_numpy()
-            doc = np.repeat(batch.column(0).to_numpy(), np.diff(wanted.offsets.to_numpy()))
-            begin = at + (sn >> 8)
+            doc, tag = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+            begin = np.repeat(off[:-1], n) + (sn >> 8)
             end = begin + (sn & 255) + length - 1
             for a in range(0, len(sn), 20_000):
                 b = slice(a, a + 20_000)
                 bits = [data[x:y].tobytes() for x, y in zip(begin[b], end[b], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[b]), pa.array(doc[b]), pa.array(sn[b]), pa.array(bits, pa.binary())], ["h", "doc", "sn", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[b]) for x in (h, doc, tag, sn)), pa.array(bits, pa.binary())], ["h", "doc", "tag", "sn", "bytes"])
 
     return rows
 
@@ -319,28 +362,27 @@ def _cut(length: int):
 def _merge(length: int):
     """Runs of repeated windows of segments, from collections of whole grams."""
 
-    def solve(h: list[int], doc: list[int], sn: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        # segments arrive ordered by gram, then by (doc, start): their place is their rank
-        out_doc, out_sn = [], []
-        for d, s, again in zip(doc, sn, repeated_windows(parts, np.arange(len(parts)), length), strict=True):
+    def solve(h: list[int], doc: list[int], tag: list[int], sn: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        # segments arrive ordered by gram, then by (doc, tag, start): their place is their rank
+        out = []
+        for d, t, s, again in zip(doc, tag, sn, repeated_windows(parts, np.arange(len(parts)), length), strict=True):
             if again.any():
                 edge = np.diff(np.concatenate([[0], again.view(np.int8), [0]]))
                 for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    out_doc.append(d)
-                    out_sn.append((((s >> 8) + int(a)) << 8) | int(b - a))
-        return pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_sn, pa.int64())], ["doc", "sn"])
+                    out.append((d, t, (((s >> 8) + int(a)) << 8) | int(b - a)))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["doc", "tag", "sn"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if size >= COLLECTION_BYTES and row[0] != held[0][-1]:
                     yield solve(*held)
-                    held, size = ([], [], [], []), 0
+                    held, size = ([], [], [], [], []), 0
                 for x, y in zip(held, row, strict=True):
                     x.append(y)
-                size += len(row[3])
+                size += len(row[4])
         if held[0]:
             yield solve(*held)
 
@@ -378,29 +420,59 @@ def _remove(length: int):
     return rows
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc and sn (start * 256 + number) of all runs of windows that also start earlier; runs may touch or repeat."""
-    texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    found = map_arrow(texts, _found(length), "key bigint, h bigint, g bigint, doc bigint, sn bigint")
-    found = found.repartition("key").drop("key").sortWithinPartitions("h", "g", "doc", "sn")
-    folded = materialise(map_arrow(found, _fold, "h bigint, doc bigint, sn bigint"), "segments")
-    _tidy(docs)
-    wanted = folded.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("sn", "h")).alias("wanted"))
-    cut = map_arrow(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "wanted"), _cut(length), "h bigint, doc bigint, sn bigint, bytes binary")
-    merged = map_arrow(cut.repartition("h").sortWithinPartitions("h", "doc", "sn"), _merge(length), "doc bigint, sn bigint")
-    runs = materialise(merged, "runs")
-    _tidy(docs)
-    return folded.where("h is null").select("doc", "sn").unionByName(runs)
-
-
-def _tidy(docs: DataFrame) -> None:
-    """Lets Spark drop the exchange files of steps that are written and done."""
-    docs.sparkSession.sparkContext._jvm.System.gc()
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text: the tag tells the texts of a repeated doc_id apart, and is 0 where a doc_id is not repeated."""
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    again = texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    again = materialise(again, "again")
+    n = again.count()
+    if not n:
+        return texts.select("doc_id", F.lit(0).cast("bigint").alias("tag"), "text")
+    marked = texts.join(F.broadcast(again) if n <= BROADCAST_IDS else again, F.col("doc_id") == F.col("again"), "left")
+    return marked.select("doc_id", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("bigint").alias("tag"), "text")
+
+
+def _folded(found: DataFrame, carry: bool = False) -> DataFrame:
+    """Copies and shared first segments of found segments, written to the shared folder."""
+    dealt = found.repartition("key").drop("key").sortWithinPartitions("h", "g", "doc", "tag", "sn")
+    schema = "h bigint, doc bigint, tag bigint, sn bigint, nth int" + (", bytes binary" if carry else "")
+    return materialise(map_arrow(dealt, _fold(carry), schema), "segments")
+
+
+def _merged(cut: DataFrame, length: int) -> DataFrame:
+    rows = cut.select("h", "doc", "tag", "sn", "bytes").repartition("h").sortWithinPartitions("h", "doc", "tag", "sn")
+    return materialise(map_arrow(rows, _merge(length), "doc bigint, tag bigint, sn bigint"), "runs")
+
+
+def repeated_runs(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc, tag and sn (start * 256 + number) of all runs of windows that also start earlier; runs may touch or repeat."""
+    texts = texts.where("doc_id is not null")
+    folded = _folded(map_arrow(texts.select("doc_id", "tag", "text"), _found(length), _FOUND))
+    out = folded.where("h is null").select("doc", "tag", "sn")
+    wanted = folded.where("h is not null").groupBy("doc", F.col("tag").alias("doc_tag")).agg(F.collect_list(F.struct("sn", "h")).alias("wanted"))
+    joined = texts.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("doc_tag"))).select("doc_id", "tag", "text", "wanted")
+    cut = first_cut = materialise(map_arrow(joined, _cut(length), "h bigint, doc bigint, tag bigint, sn bigint, bytes binary"), "cut")
+    for k in (DEEPER, length):
+        # a gram has one segment of that place, so this is a table of hot grams
+        grams = folded.where(F.col("nth") == hot).select(F.col("h").alias("hot"))
+        n = grams.count()
+        if not n:
+            break
+        grams = F.broadcast(grams) if n <= BROADCAST_IDS else grams
+        out = out.unionByName(_merged(cut.join(grams, F.col("h") == F.col("hot"), "left_anti"), length))
+        split = cut.join(grams, F.col("h") == F.col("hot"), "left_semi").select("h", "doc", "tag", "sn", "bytes")
+        folded = _folded(map_arrow(split, _deeper(length, k), _FOUND + ", bytes binary"), True)
+        out = out.unionByName(folded.where("h is null").select("doc", "tag", "sn"))
+        cut = folded.where("h is not null")
+    # after the last split single windows are left, and those of one gram are all equal, so none is left to merge
+    out = out.unionByName(_merged(cut, length))
+    discard(first_cut)
+    return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    marks = repeated_runs(docs, length).groupBy("doc").agg(F.collect_list("sn").alias("marks"))
-    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    joined = texts.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "marks")
+    texts = tagged(docs)
+    marks = repeated_runs(texts, length, hot).groupBy("doc", F.col("tag").alias("doc_tag")).agg(F.collect_list("sn").alias("marks"))
+    joined = texts.join(marks, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("doc_tag")), "left").select("doc_id", "text", "marks")
     return map_arrow(joined, _remove(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
