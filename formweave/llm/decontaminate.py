@@ -7,113 +7,106 @@ item's tokens that tiles cover does not depend on the order of the passages, so
 are caught. An item counts as leaked if its coverage reaches `threshold`.
 
 The benchmark is taken in blocks of at most `block_bytes` of text, each shipped to all tasks; all
-documents are read against each block, so nothing depends on the benchmark being small.
+documents are read against each block, so nothing depends on the benchmark being small. With several
+blocks only what a block finds is written, and a shuffle of these findings by doc_id and text hash
+brings them together; texts are read once a block and never written.
 
 Defined cases: null and empty texts leak nothing. Items with fewer than five tokens are one seed
 and leak where their whole sequence occurs. Null and empty items are ignored, repeated items are
-all named. Repeated rows are judged each. An empty benchmark leaks nowhere. Extra columns are
-ignored by the report and kept by the filter.
+all named, and an item without an id is named by null. Of tiles of equal length the one that begins
+first in the item goes first, then the one that begins first in the document. Very long texts are tiled
+whole. Repeated rows are judged each. An empty benchmark leaks nowhere, an empty table gives an empty
+result. Extra columns are ignored by the report and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, map_arrow, materialise, word_slices
+from .common import PUNCT, free_name, map_arrow, materialise, powers, word_slices
 
 SEED = 5
 
 
 def tile(a: np.ndarray, b: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiles (start in a, start in b, length) of two hash sequences, longest first.
+    """Greedy string tiles (start in a, start in b, length) of two hash sequences, longest first, then by place.
 
-    Each round hashes all unmarked runs of the search length in both sequences, extends the runs that
-    agree, and marks the longest that do not overlap. A run longer than twice the search length
-    restarts the search at that length; otherwise the length is halved down to `least`.
+    Running Karp-Rabin hashes of all unmarked runs tell the greatest length that both sequences share, by
+    bisection; the runs of that length that do not overlap are marked, and the next length is shorter. Each
+    length costs a few sorts of the hashes, also where a token repeats throughout.
     """
-    am, bm = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    sides = [_Side(a), _Side(b)]
     tiles: list[tuple[int, int, int]] = []
-    s = min(20, max(least, min(len(a), len(b))))
-    while True:
-        matches, longest = [], 0
-        table: dict[int, list[int]] = {}
-        for h, i in _runs(b, bm, s):
-            table.setdefault(h, []).append(i)
-        for h, i in _runs(a, am, s):
-            for j in table.get(h, ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not am[i + k] and not bm[j + k]:
-                    k += 1
-                if k >= s:
-                    matches.append((k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * s:
-            s = longest
-            continue
-        left = []
-        for k, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if not am[i : i + k].any() and not bm[j : j + k].any():
-                am[i : i + k] = bm[j : j + k] = True
-                tiles.append((i, j, k))
+    most = min(len(a), len(b))
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            k = (low + high + 1) // 2
+            if np.isin(sides[0].runs(k)[0], sides[1].runs(k)[0]).any():
+                low = k
             else:
-                left.append((k, i, j))
-        if left and s > least:
-            # what overlaps a tile in part may still hold a run of the search length
-            if any(_free(am, i, k) >= s and _free(bm, j, k) >= s for k, i, j in left):
-                s = max(least, s - 1)
+                high = k - 1
+        if low < least:
+            break
+        (ha, ia), (hb, ib) = (s.runs(low) for s in sides)
+        order = np.argsort(hb, kind="stable")
+        hb, ib = hb[order], ib[order]
+        hit = np.isin(ha, hb)
+        end_a, used_b, at = -1, np.zeros(len(b), bool), {}
+        for h, i in zip(ha[hit], ia[hit], strict=True):
+            if i < end_a:
                 continue
-        if s == least:
-            if not left or not any(True for _ in _common(a, am, b, bm, s)):
-                return tiles
-            continue
-        s = max(least, s // 2)
-
-
-def _free(marked: np.ndarray, at: int, k: int) -> int:
-    return int((~marked[at : at + k]).sum())
-
-
-def _runs(x: np.ndarray, marked: np.ndarray, s: int) -> Iterator[tuple[int, int]]:
-    """Running Karp-Rabin hashes of all unmarked runs of length s."""
-    n = len(x) - s + 1
-    if n <= 0:
-        return
-    mod, base = (1 << 61) - 1, 1_000_003
-    top = pow(base, s - 1, mod)
-    h = 0
-    for i in range(s):
-        h = (h * base + int(x[i])) % mod
-    blocked = np.concatenate([[0], np.cumsum(marked)])
-    for i in range(n):
-        if blocked[i + s] == blocked[i]:
-            yield h, i
-        if i + 1 < n:
-            h = ((h - int(x[i]) * top) * base + int(x[i + s])) % mod
-
-
-def _common(a: np.ndarray, am: np.ndarray, b: np.ndarray, bm: np.ndarray, s: int) -> Iterator[int]:
-    have = {h for h, _ in _runs(b, bm, s)}
-    return (i for h, i in _runs(a, am, s) if h in have)
+            stop = int(np.searchsorted(hb, h, "right"))
+            k = at.get(h, int(np.searchsorted(hb, h, "left")))
+            # runs marked at this length are as long as this one, so an overlap covers one of its ends
+            while k < stop and (used_b[ib[k]] or used_b[ib[k] + low - 1]):
+                k += 1
+            at[h] = k
+            if k < stop and (a[i : i + low] == b[ib[k] : ib[k] + low]).all():
+                tiles.append((int(i), int(ib[k]), low))
+                end_a = i + low
+                used_b[ib[k] : ib[k] + low] = True
+                sides[0].marked[i : i + low] = sides[1].marked[ib[k] : ib[k] + low] = True
+        most = low - 1
+    return tiles
+
+
+class _Side:
+    """A sequence of hashes, which of them are marked, and the sums from which the hash of any run follows."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        n = len(x)
+        fwd, self.inverse = powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(x * fwd[:n], out=self.total[1:])
+        self.marked = np.zeros(n, bool)
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of all unmarked runs of length k."""
+        blocked = np.concatenate([[0], np.cumsum(self.marked)])
+        start = np.flatnonzero(blocked[k:] == blocked[: len(blocked) - k])
+        return (self.total[start + k] - self.total[start]) * self.inverse[start], start
 
 
 @dataclass
 class Block:
     """Some benchmark items: seed hashes in ascending order with the item and position of each."""
 
-    ids: list[int]
+    ids: list[int | None]
     tokens: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray
     at: np.ndarray
 
 
-def index(items: list[tuple[int, str]]) -> Block:
+def index(items: list[tuple[int | None, str]]) -> Block:
     ids, tokens, seeds, item, at = [], [], [], [], []
     for i, _, w in word_slices(pa.array([t for _, t in items], pa.string()), sep=PUNCT):
         h, off = w.shingles(SEED)
@@ -175,18 +168,18 @@ def coverage(block: Block, tokens: np.ndarray, hashes: np.ndarray) -> dict[int,
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """Benchmark items in blocks of at most `block_bytes`, or of one longer item, read one block at a time."""
     items = benchmark.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = -(-2 * int(total) // block_bytes) if total > block_bytes else 1
     for k in range(n if total else 0):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        yield sorted((r["id"] if r["id"] is not None else -1, r["text"]) for r in rows)
+        yield sorted(((r["id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x))
 
 
-def _leaks(block: Block, threshold: float, column: pa.Array) -> tuple[list[list[int]], np.ndarray]:
-    leaked: list[list[int]] = []
+def _leaks(block: Block, threshold: float, column: pa.Array) -> tuple[list[list[int | None]], np.ndarray]:
+    leaked: list[list[int | None]] = []
     most = np.zeros(len(column))
     short = any(len(t) < SEED for t in block.tokens)
     for i, j, w in word_slices(column, sep=PUNCT):
@@ -196,36 +189,55 @@ def _leaks(block: Block, threshold: float, column: pa.Array) -> tuple[list[list[
             lo = np.minimum(np.searchsorted(block.seeds, h), len(block.seeds) - 1)
             near[np.searchsorted(off, np.flatnonzero(block.seeds[lo] == h), "right") - 1] = True
         for k in range(j - i):
-            ids: list[int] = []
+            ids: list[int | None] = []
             if near[k]:
                 cover = coverage(block, w.hash[w.rows[k] : w.rows[k + 1]], h[off[k] : off[k + 1]])
                 most[i + k] = max([0.0, *cover.values()])
-                ids = sorted(block.ids[x] for x, c in cover.items() if c >= threshold)
+                ids = sorted((block.ids[x] for x, c in cover.items() if c >= threshold), key=lambda i: (i is None, i))
             leaked.append(ids)
     return leaked, most
 
 
-def _judge(block: Block, threshold: float):
+def _judge(block: Block, threshold: float, all_rows: bool):
+    """doc_id, text hash, leaked items and coverage of all rows, or of those that some item covers in part."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, ids, cover = (batch.column(k) for k in (1, 2, 3))
-            leaked, most = _leaks(block, threshold, text)
-            ids = pa.array([[*a, *b] for a, b in zip(ids.to_pylist(), leaked, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, ids, pa.array(np.maximum(most, cover.to_numpy()))], ["doc_id", "text", "item_ids", "coverage"])
+            leaked, most = _leaks(block, threshold, batch.column(2))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaked, pa.list_(pa.int64())), pa.array(most)], ["doc_id", "tag", "item_ids", "coverage"])
+            yield out if all_rows else out.filter(pa.array(most > 0))
 
     return rows
 
 
-def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, leaked item ids, the highest coverage of any item, and contaminated, for every document.
+_FINDINGS = "doc_id bigint, tag bigint, item_ids array<bigint>, coverage double"
 
-    With several blocks, what each pass has found is written before the next, so that a task holds one block.
-    """
-    schema = "doc_id bigint, text string, item_ids array<bigint>, coverage double"
-    out = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(array() as array<bigint>) item_ids", "0D coverage")
-    for k, items in enumerate(blocks(benchmark, block_bytes)):
-        out = map_arrow(materialise(out, "tiled") if k else out, _judge(index(items), threshold), schema)
-    return out.select("doc_id", F.array_sort("item_ids").alias("item_ids"), "coverage", (F.size("item_ids") > 0).alias("contaminated"))
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
+
+
+def _findings(docs: DataFrame, listed: list[list[tuple[int | None, str]]] | Iterator, threshold: float) -> DataFrame:
+    """What all blocks find, a row for each distinct doc_id and text that some item covers in part."""
+    texts, every = _tagged(docs), None
+    for items in listed:
+        part = materialise(map_arrow(texts, _judge(index(items), threshold, False), _FINDINGS).distinct(), "tiled")
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("doc_id", "tag").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("coverage").alias("coverage"))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, leaked item ids, the highest coverage of any item, and contaminated, for every document."""
+    listed = blocks(benchmark, block_bytes)
+    first = next(listed, [])
+    second = next(listed, None)
+    if second is None:
+        out = map_arrow(_tagged(docs), _judge(index(first), threshold, True), _FINDINGS)
+    else:
+        found = _findings(docs, chain([first, second], listed), threshold).withColumnsRenamed({"doc_id": "f_id", "tag": "f_tag"})
+        out = _tagged(docs).drop("text").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("tag") == F.col("f_tag")), "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    return out.select("doc_id", F.array_sort(ids).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), (F.size(ids) > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
@@ -239,7 +251,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         return rows
 
-    out = docs
-    for k, items in enumerate(blocks(benchmark, block_bytes)):
-        out = map_arrow(materialise(out, "tiled") if k else out, keep(index(items)), docs.schema)
-    return out
+    listed = blocks(benchmark, block_bytes)
+    first = next(listed, [])
+    second = next(listed, None)
+    if second is None:
+        return map_arrow(docs, keep(index(first)), docs.schema)
+    f_id, f_tag = free_name(docs, "_id"), free_name(docs, "_tag")
+    found = _findings(docs, chain([first, second], listed), threshold).where(F.size("item_ids") > 0).select(F.col("doc_id").alias(f_id), F.col("tag").alias(f_tag))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(f_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(f_tag)), "left_anti")

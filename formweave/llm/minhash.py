@@ -13,13 +13,21 @@ estimate at the threshold misses with at most 1e-7, by the binomial of matching
 0.552 for 0.80. More similar pairs are lost less often still. Below 0.80 the minima do not suffice and
 the threshold is refused. Everything else is exact up to 64-bit hash collisions.
 
-Groups are cut into blocks of bounded size, and a task compares two blocks. Tasks emit a star per
-local component and never pairs.
+A group of bounded size is one task, which holds its sets. A larger group is not compared pair by pair.
+All its nodes are first compared with LEADERS of them; what these links tie together most is its main
+cluster, and pairs inside that need no test. Of the other nodes, one can link at all only if some of its
+rarest shingles, as many as the threshold allows to differ and one more, stand in another set of the
+group (prefix filter). The nodes left over are compared with all of the group, in tasks of a block of them
+and a chunk of the group. So sets are moved in proportion to the group where it hangs together, or where
+its members share no more than a common passage; in a group of many clusters they are moved once for each
+block of nodes outside the main one. Tasks emit a star per local component and never pairs.
 
 Defined cases: null and empty texts, and texts without words, have no shingles, link with nothing
-and are kept. Fewer words than five are one shingle. Repeated rows are judged each by their text. A
-null doc_id stands for no component of its own: such rows are kept unless they copy another row.
-Extra columns are ignored by the report and kept by the filter.
+and are kept. Fewer words than five are one shingle. Very long texts are one set like others. Repeated
+rows under one doc_id are one document: what one of its texts links to, the others do. Of equal texts the
+smallest doc_id stays. A null doc_id stands for no component of its own: such rows are kept unless they copy another row.
+An empty table gives an empty result. Extra columns are ignored by the report and kept by the filter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix, word_slices
+from .common import free_name, map_arrow, materialise, mix, word_slices
 from .components import connected_components
 
 SHINGLE, MINIMA, ROWS, LOSS = 5, 128, 4, 1e-7
 BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
+LEADERS = 16
 BROADCAST_NODES = 200_000
 _MULTIPLIERS = np.random.default_rng(20_240_601).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIG = ["s0", "s1", "s2", "s3"]
@@ -228,17 +237,19 @@ def _compare(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, floor: float) ->
         yield _stars(own, groups.root)
 
 
-def linked(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the components that links make: pairs of one block if all are in it, else pairs across the two."""
+def linked(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, held: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the components that links make between all rows, or between the first `held` rows and the others.
+
+    Rows of one id are connected already.
+    """
     n = len(ids)
     size = np.fromiter(map(len, sets), np.int64, n)
     groups = _Union(n)
-    across, floor = len(np.unique(block)) > 1, floor_for(percent)
-    for i in range(n):
+    groups.root = np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]]
+    floor = floor_for(percent)
+    for i in range(held or n):
         pick = groups.root != groups.root[i]
-        pick[: i + 1] = False
-        if across:
-            pick &= block != block[i]
+        pick[: held or i + 1] = False
         other = np.flatnonzero(pick)
         if not len(other):
             continue
@@ -257,47 +268,134 @@ def linked(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], block: np.n
     return _stars(ids, groups.root)
 
 
-def verified_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Edges u, v between nodes whose full sets link, found inside candidate groups; `groups` has node and component."""
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    off, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+def verified_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, block: int = BLOCK_NODES, again: bool = False) -> DataFrame:
+    """Edges u, v between nodes whose full sets link, found inside candidate groups; `groups` has node and component.
+
+    `again`: some doc_id is repeated, so that a node's id may bring several texts, each of which counts once.
+    """
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
-    member = groups.unionByName(roots).join(nodes.select("rep", "n", *_SIG), F.col("node") == F.col("rep")).drop("node")
-    member = materialise(member, "members")
-    sums = member.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    sums = sums.select("g", F.greatest(F.ceil(F.col("c") / BLOCK_NODES), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    member = member.join(sums, F.col("component") == F.col("g")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", *_SIG)
-    count = member.count()
+    member = groups.unionByName(roots).join(nodes.select("rep", "n", *_SIG), F.col("node") == F.col("rep"))
+    member = materialise(member.select(F.col("component").alias("g"), "rep", "n", *_SIG), "members")
+    sums = member.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    # single documents beyond the bound of shingles are no reason to split a group of few
+    big = sums.where((F.col("c") > block) | ((F.col("w") > BLOCK_SHINGLES) & (F.col("c") > 2 * LEADERS)))
+    big = materialise(big.select(F.col("g").alias("big"), F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("chunks")), "big")
+    n_big, n_member = big.count(), member.count()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.col("text").cast("string").alias("text"))
-    # beyond the checked size the texts are shuffled instead
-    member = F.broadcast(member) if count <= BROADCAST_NODES else member
-    rows = texts.join(member, F.col("d") == F.col("rep")).select("g", "lo", "hi", "b", "rep", *_SIG, "text")
-    rows = rows.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "rep")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        # beyond the checked size the texts are shuffled instead
+        found = texts.join(F.broadcast(rows) if n_member <= BROADCAST_NODES else rows, F.col("d") == F.col("rep"))
+        if not again:
+            return found
+        return found.groupBy(*rows.columns, F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"))
+
+    few = F.broadcast(big) if n_big <= BROADCAST_NODES else big
+    rows = with_text(member.join(few, F.col("g") == F.col("big"), "left_anti")).select("g", "rep", *_SIG, "text")
+    rows = rows.repartition("g").sortWithinPartitions("g", "rep")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, 3):
+        for run in _runs(batches, 1):
             t = pa.Table.from_batches(run).combine_chunks()
             sets: list[np.ndarray] = []
             for i, j, h, off in distinct_shingles(t["text"].chunk(0)):
                 sets += [h[off[k] : off[k + 1]] for k in range(j - i)]
-            ok = np.fromiter((len(x) > 0 for x in sets), bool, len(sets))
-            if ok.sum() < 2:
+            sig = np.stack([t[c].to_numpy() for c in _SIG], axis=1).view(np.uint64)
+            ok = [k for k, x in enumerate(sets) if len(x)]
+            if len(ok) > 1:
+                u, v = linked(t["rep"].to_numpy()[ok], sig[ok], [sets[k] for k in ok], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    small = map_arrow(rows, kernel, "u bigint, v bigint")
+    if not n_big:
+        return small
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, off in distinct_shingles(batch["text"]):
+                sh = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("g", "chunks", "rep", "n", *_SIG)), sh], ["g", "chunks", "rep", "n", *_SIG, "sh"])
+
+    schema = "g bigint, chunks int, rep bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sh array<bigint>"
+    large = with_text(member.join(few, F.col("g") == F.col("big"))).select("g", "chunks", "rep", "n", *_SIG, "text")
+    return small.unionByName(_large_edges(materialise(map_arrow(large, listed, schema), "sets"), percent, block))
+
+
+def _large_edges(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges u, v of large groups: `sets` has g, chunks, rep, n, signature and shingles of each node."""
+    mins = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("o"), F.col("rep").alias("r"))) for i in range(LEADERS)]
+    leaders = sets.groupBy("g").agg(F.array_distinct(F.transform(F.array(*mins), lambda x: x["r"])).alias("l")).select("g", F.explode("l").alias("lead"))
+    own = sets.withColumn("cluster", F.col("rep"))
+    stars = materialise(_compared(own, leaders.select("g", "lead", F.lit(1).alias("blocks")), percent), "stars")
+    parts = connected_components(stars).withColumnRenamed("node", "cn")
+    clustered = sets.join(parts, F.col("rep") == F.col("cn"), "left").withColumn("cluster", F.coalesce("component", "rep")).drop("cn", "component")
+    clustered = materialise(clustered, "clustered")
+    main = clustered.groupBy("g", "cluster").count().groupBy("g").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"))
+    rest = clustered.join(main.withColumnRenamed("g", "mg"), F.col("g") == F.col("mg")).where("cluster <> main").select("g", "rep", "n", "sh")
+    # how many shingles of a node outside the main cluster stand in another set of its group
+    shared = clustered.select("g", F.explode("sh").alias("t")).groupBy("g", "t").count().where("count > 1").select(F.col("g").alias("tg"), F.col("t").alias("tt"))
+    tokens = rest.select("g", "rep", "n", F.explode("sh").alias("t"))
+    held = tokens.join(shared, (F.col("g") == F.col("tg")) & (F.col("t") == F.col("tt"))).groupBy("g", "rep", "n").count()
+    # a link needs all but the prefix's rest in common, so a node with more shingles of its own than that has none
+    able = held.where(100 * F.col("count") >= percent * F.col("n")).select("g", "rep", "n")
+    size = able.groupBy(F.col("g").alias("ag")).agg(F.greatest(F.ceil(F.count("*") * 2 / block), F.ceil(F.sum("n") * 2 / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    able = materialise(able.join(size, F.col("g") == F.col("ag")).select("g", F.col("rep").alias("lead"), "blocks"), "able")
+    return stars.unionByName(_compared(clustered, able, percent))
+
+
+def _compared(sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Edges between clusters that links of the held nodes (g, lead, blocks) with any node of their group make.
+
+    A task holds one block of held nodes and one chunk of the group.
+    """
+    columns = ["g", "j", "c", "role", "cluster", *_SIG, "sh"]
+    blocks = held.groupBy(F.col("g").alias("hg")).agg(F.max("blocks").alias("blocks"))
+    c, j = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
+    streamed = sets.join(blocks, F.col("g") == F.col("hg")).withColumn("c", c).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    kept = sets.join(held.withColumnRenamed("g", "hg"), (F.col("g") == F.col("hg")) & (F.col("rep") == F.col("lead"))).withColumn("j", j)
+    kept = kept.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("role", F.lit(0))
+    rows = kept.select(columns).unionByName(streamed.select(columns)).repartition("g", "j", "c").sortWithinPartitions("g", "j", "c", "role", "cluster")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, 3):
+            t = pa.Table.from_batches(run).combine_chunks()
+            n = int((t["role"].to_numpy() == 0).sum())
+            if not n or n == len(t):
                 continue
-            sig = np.stack([t[c].to_numpy() for c in _SIG], axis=1).view(np.uint64)[ok]
-            u, v = linked(t["rep"].to_numpy()[ok], sig, [x for x in sets if len(x)], t["b"].to_numpy()[ok], percent)
+            sig = np.stack([t[x].to_numpy() for x in _SIG], axis=1).view(np.uint64)
+            u, v = linked(t["cluster"].to_numpy(), sig, _sets(t["sh"].chunk(0)), percent, n)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return map_arrow(rows, kernel, "u bigint, v bigint")
+    return map_arrow(rows, kernel, "u bigint, v bigint").distinct()
+
+
+def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Edges u, v between the nodes of the texts of each repeated doc_id; None if no doc_id is repeated."""
+    twice = rows.where("doc_id is not null and n > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
+    twice = materialise(twice, "twice")
+    if twice.isEmpty():
+        return None
+    own = rows.join(twice, F.col("doc_id") == F.col("d")).select("d", "f0", "f1").distinct().join(nodes.select("f0", "f1", "rep"), ["f0", "f1"])
+    least = own.groupBy(F.col("d").alias("m")).agg(F.min("rep").alias("v"))
+    return own.join(least, F.col("d") == F.col("m")).select(F.col("rep").alias("u"), "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK_NODES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = materialise(sketch(docs, bands_for(percent)), "sketch")
     nodes = rows.where("n > 0").groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in (*_SIG, "bands")))
     nodes = materialise(nodes, "nodes")
     known = nodes.where("rep is not null")
     groups = connected_components(candidate_edges(known, floor_for(percent)))
-    parts = connected_components(verified_edges(docs, known, groups, percent)).withColumnRenamed("node", "cn")
+    same = _same_document(rows, known)
+    found = verified_edges(docs, known, groups, percent, block, same is not None)
+    parts = connected_components(found if same is None else found.unionByName(same)).withColumnRenamed("node", "cn")
     of = nodes.select("f0", "f1", "rep").join(parts, F.col("rep") == F.col("cn"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("least"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("f0")).alias("r0"), F.col("f1").alias("r1"))
     out = out.join(of, (F.col("r0") == F.col("f0")) & (F.col("r1") == F.col("f1")), "left")
@@ -307,8 +405,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each component, with all columns; the report is keyed by doc_id, and rows repeated under one are one."""
-    verdict = near_duplicates(docs, percent).groupBy(F.col("doc_id").alias("_nd_id")).agg(F.max("kept").alias("_nd_kept"))
-    gone = materialise(verdict.where("not _nd_kept").select("_nd_id"), "dropped")
+    own = free_name(docs, "_nd_id")
+    verdict = near_duplicates(docs, percent).groupBy(F.col("doc_id").alias(own)).agg(F.max("kept").alias("kept"))
+    gone = materialise(verdict.where("not kept").select(own), "dropped")
     if gone.count() <= 2_000_000:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_nd_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")

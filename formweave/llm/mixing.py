@@ -5,27 +5,32 @@ supply its words up to `max_repeats` times, each further pass at a higher cost,
 for its target. Min-cost flow routes pattern words to source quotas. Per pattern the flow is a
 number of whole passes and a rest; the rest is filled with documents in the order of a seeded hash.
 
-Only patterns reach the driver; their number is bounded by `max_patterns` and checked. The cut in
-the seeded order is found from sums over hash buckets, so no task ever holds a whole source.
-
-Defined cases: a null text has size 0, takes no words and is kept at 0 repeats' cost; a null source
-is a source of its own, last in order. A document without any source is never taken. An empty table
-gives an empty mix. Rows repeated under one doc_id are chosen together. Ties in the seeded order go
-by doc_id. Extra columns are ignored by the plan and kept by the selection.
+Texts are read once, for their sizes. Only patterns reach the driver, a short row each, and never
+documents; the plan goes back to the documents by a join, broadcast up to BROADCAST_PATTERNS rows. The
+cut in the seeded order is found from sums over hash buckets, so no task ever holds a whole source.
+
+Defined cases: a null or empty text, of any length of blanks, has size 0 and takes no words; such a
+document is kept as often as its pattern is taken whole. A null source is a source of its own, last in
+order. A document without any source is never taken. An empty table gives an empty mix. Rows repeated
+under one doc_id are chosen together, as are all rows with a null one. Ties in the seeded order go by
+doc_id. Very long texts are one document like others, so a source can miss its
+target by half of its longest document. Extra columns are kept by the mix, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialise
+from .common import WORD_RE, free_name, materialise
 
 BUCKET_BITS = 12
+BROADCAST_PATTERNS = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -52,7 +57,12 @@ def targets_for(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost >= 0) of a cheapest maximum flow, by successive shortest paths."""
+    """Flow on each arc (from, to, capacity, cost >= 0) of a cheapest maximum flow.
+
+    Primal and dual in turn: node prices from shortest paths, then a blocking flow over all arcs without
+    reduced cost. The number of turns is that of distinct path costs, which is small for a few passes,
+    whatever the number of patterns.
+    """
     graph: list[list[int]] = [[] for _ in range(n)]
     to, room, cost = [], [], []
     for a, b, c, w in arcs:
@@ -64,27 +74,61 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
     high = [0] * n
     while True:
         dist: list[float] = [float("inf")] * n
-        dist[source], via, heap = 0, [-1] * n, [(0, source)]
+        dist[source], heap = 0, [(0, source)]
         while heap:
             d, x = heapq.heappop(heap)
             if d > dist[x]:
                 continue
             for e in graph[x]:
                 if room[e] > 0 and (new := d + cost[e] + high[x] - high[to[e]]) < dist[to[e]]:
-                    dist[to[e]], via[to[e]] = new, e
+                    dist[to[e]] = new
                     heapq.heappush(heap, (new, to[e]))
         if dist[sink] == float("inf"):
             return [room[2 * i + 1] for i in range(len(arcs))]
-        high = [h + (d if d < float("inf") else 0) for h, d in zip(high, dist, strict=True)]
-        push, x = None, sink
-        while x != source:
-            push = room[via[x]] if push is None else min(push, room[via[x]])
-            x = to[via[x] ^ 1]
-        x = sink
-        while x != source:
-            room[via[x]] -= push
-            room[via[x] ^ 1] += push
-            x = to[via[x] ^ 1]
+        far = dist[sink]
+        high = [h + min(d, far) for h, d in zip(high, dist, strict=True)]
+        while _blocking_flow(graph, to, room, cost, high, source, sink):
+            pass
+
+
+def _blocking_flow(graph: list[list[int]], to: list[int], room: list[int], cost: list[int], high: list[int], source: int, sink: int) -> bool:
+    """Fills all shortest ways over arcs without reduced cost; false if there is none."""
+    level = [-1] * len(graph)
+    level[source], queue = 0, deque([source])
+    while queue:
+        x = queue.popleft()
+        for e in graph[x]:
+            y = to[e]
+            if level[y] < 0 and room[e] > 0 and cost[e] + high[x] == high[y]:
+                level[y] = level[x] + 1
+                queue.append(y)
+    if level[sink] < 0:
+        return False
+    at, way, x = [0] * len(graph), [], source
+    while True:
+        if x == sink:
+            push = min(room[e] for e in way)
+            for e in way:
+                room[e] -= push
+                room[e ^ 1] += push
+            first = next(i for i, e in enumerate(way) if not room[e])
+            x = to[way[first] ^ 1]
+            del way[first:]
+            continue
+        own = graph[x]
+        while at[x] < len(own):
+            e = own[at[x]]
+            if room[e] > 0 and level[to[e]] == level[x] + 1 and cost[e] + high[x] == high[to[e]]:
+                break
+            at[x] += 1
+        if at[x] < len(own):
+            way.append(own[at[x]])
+            x = to[way[-1]]
+        elif way:
+            x = to[way.pop() ^ 1]
+            at[x] += 1
+        else:
+            return True
 
 
 def route(sizes: dict[tuple, int], targets: dict[str | None, float], max_repeats: int = 3) -> tuple[dict[tuple, int], dict[tuple, int]]:
@@ -103,28 +147,37 @@ def route(sizes: dict[tuple, int], targets: dict[str | None, float], max_repeats
 
 @dataclass
 class Plan:
-    """A row per pattern: sizes, targets and the cut in the seeded order; `rows` is bounded by max_patterns."""
+    """A row per pattern: whole passes and the cut in the seeded order. `sized` has id, pattern and size of each document."""
 
     rows: list[tuple]
     seed: int
     source_sizes: dict[str | None, int]
     targets: dict[str | None, float]
     flow: dict[tuple, int]
+    sized: DataFrame
+
+
+def pattern_of(members: Column) -> Column:
+    """A document's sources as text: distinct, in order."""
+    return F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"})
 
 
 def _seeded(doc_id: Column, seed: int) -> Column:
     return F.xxhash64(doc_id, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def plan(docs: DataFrame, members: Column, targets=targets_for, seed: int = 17, max_repeats: int = 3, max_patterns: int = 100_000) -> Plan:
+def short_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the plan, broadcast if it is short."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_PATTERNS else df
+
+
+def plan(docs: DataFrame, members: Column, targets=targets_for, seed: int = 17, max_repeats: int = 3) -> Plan:
     """Aggregates, solves the flow and finds each pattern's cut. `members`: array of a document's sources."""
-    sized = materialise(
-        docs.select(F.col("doc_id").alias("id"), F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"}).alias("pattern"), size_of(F.col("text")).alias("size")),
-        "mix",
-    ).withColumn("u", _seeded(F.col("id"), seed))
-    found = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    sized = materialise(docs.select(F.col("doc_id").alias("id"), pattern_of(members).alias("pattern"), size_of(F.col("text")).alias("size")), "mix")
+    seeded = sized.withColumn("u", _seeded(F.col("id"), seed))
+    # in order, so that of equally cheap flows reruns choose the same
+    found = sorted(sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect(), key=lambda r: r["pattern"] or "")
     sizes = {tuple(json.loads(r["pattern"] or "[]")): int(r["size"]) for r in found}
     keys = {tuple(json.loads(r["pattern"] or "[]")): r["pattern"] for r in found}
     of_source: dict[str | None, int] = {}
@@ -139,42 +192,40 @@ def plan(docs: DataFrame, members: Column, targets=targets_for, seed: int = 17,
     rests = [(keys[p], int(r)) for p, r in rest.items() if r > 0]
     cuts: dict[str, tuple[int, int]] = {}
     if rests:
-        # at most max_patterns short rows, so the broadcast is bounded
-        want = F.broadcast(spark.createDataFrame(rests, "pattern string, rest bigint"))
-        part = sized.join(want, "pattern").withColumn("bucket", F.shiftright("u", 63 - BUCKET_BITS))
+        part = seeded.join(short_table(spark, rests, "pattern string, rest bigint"), "pattern").withColumn("bucket", F.shiftright("u", 63 - BUCKET_BITS))
         sums = part.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("size"))
         before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         edge = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where("before < rest and before + size >= rest")
+        edges = [tuple(r) for r in edge.select("pattern", "bucket", "before", "rest").collect()]
         inside = Window.partitionBy("pattern", "bucket").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, -1)
-        near = part.drop("rest").join(F.broadcast(edge.select("pattern", "bucket", "before", "rest")), ["pattern", "bucket"])
+        near = part.drop("rest").join(short_table(spark, edges, "pattern string, bucket bigint, before bigint, rest bigint"), ["pattern", "bucket"])
         near = near.withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         # a document is taken while at least half of it is still wanted; else the order ends before it
         first_out = near.where(F.col("done") + F.col("size") / 2 > F.col("rest"))
-        out = first_out.groupBy("pattern").agg(F.min(F.struct("u", "id")).alias("at"))
-        last = edge.join(out, "pattern", "left").select("pattern", "bucket", "at").collect()
-        for r in last:
-            cuts[r["pattern"]] = (r["at"]["u"], r["at"]["id"]) if r["at"] else (min((r["bucket"] + 1) << (63 - BUCKET_BITS), (1 << 63) - 1), None)
-    rows = []
-    for p, k in keys.items():
-        u, i = cuts.get(k, (0, None))
-        rows.append((k, whole[p], u, i))
-    return Plan(rows, seed, of_source, wanted, flow)
+        out = {r["pattern"]: (r["at"]["u"], r["at"]["id"]) for r in first_out.groupBy("pattern").agg(F.min(F.struct("u", "id")).alias("at")).collect()}
+        for pattern, bucket, _, _ in edges:
+            cuts[pattern] = out.get(pattern, (min((bucket + 1) << (63 - BUCKET_BITS), (1 << 63) - 1), None))
+    rows = [(k, whole[p], *cuts.get(k, (0, None))) for p, k in keys.items()]
+    return Plan(rows, seed, of_source, wanted, flow, sized)
+
+
+def times(df: DataFrame, p: Plan, doc_id: str, pattern: str | Column, into: str) -> DataFrame:
+    """Adds the number of times that each document is taken; no shuffle while the plan is short."""
+    key, mine, whole, cut, cut_id = (free_name(df, x) for x in ("_key", "_pattern", "_whole", "_cut", "_cut_id"))
+    table = short_table(df.sparkSession, p.rows, f"{mine} string, {whole} bigint, {cut} bigint, {cut_id} bigint")
+    u = _seeded(F.col(doc_id), p.seed)
+    more = (u < F.col(cut)) | ((u == F.col(cut)) & (F.col(doc_id) < F.col(cut_id)))
+    joined = df.withColumn(key, F.col(pattern) if isinstance(pattern, str) else pattern).join(table, F.col(key) == F.col(mine), "left")
+    return joined.withColumn(into, F.coalesce(F.col(whole) + F.coalesce(more, F.lit(False)).cast("long"), F.lit(0))).drop(key, mine, whole, cut, cut_id)
 
 
 def repeats(docs: DataFrame, p: Plan, members: Column, into: str) -> DataFrame:
-    """Adds the number of times that each document is taken; no shuffle."""
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(p.rows, "_mx_p string, _mx_whole bigint, _mx_u bigint, _mx_id bigint"))
-    key = F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"})
-    u = _seeded(F.col("doc_id"), p.seed)
-    more = (u < F.col("_mx_u")) | ((u == F.col("_mx_u")) & (F.col("doc_id") < F.col("_mx_id")))
-    joined = docs.withColumn("_mx_key", key).join(table, F.col("_mx_key") == F.col("_mx_p"), "left")
-    n = F.coalesce(F.col("_mx_whole") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(0))
-    return joined.withColumn(into, n).drop("_mx_key", "_mx_p", "_mx_whole", "_mx_u", "_mx_id")
+    """`times` for a table with the documents' own columns."""
+    return times(docs, p, "doc_id", pattern_of(members), into)
 
 
 def mix(docs: DataFrame, members: Column, **options) -> DataFrame:
     """The mix: each document as often as it is taken, with its columns."""
-    taken = repeats(docs, plan(docs, members, **options), members, "_mx_n").where(F.col("_mx_n") > 0)
-    again = F.explode(F.array_repeat(F.lit(0), F.col("_mx_n").cast("int")))
-    return taken.withColumn("_mx_copy", again).select(*docs.columns)
+    n, copy = free_name(docs, "_times"), free_name(docs, "_copy")
+    taken = repeats(docs, plan(docs, members, **options), members, n).where(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -68,24 +68,27 @@ up as (
   select conv_id, turn, parent as root, 1 as depth, lpad(parent::varchar, 10, '0') || '/' || lpad(turn::varchar, 10, '0') as path from parents
   union all select up.conv_id, up.turn, p.parent, up.depth + 1, lpad(p.parent::varchar, 10, '0') || '/' || up.path from up join parents p on p.conv_id = up.conv_id and p.turn = up.root
 ),
-top as (select conv_id, turn, arg_max(root, depth) as root, max(depth) as depth, arg_max(path, depth) as path from up group by 1, 2)
+top as (
+  select *, row_number() over (partition by conv_id, root order by path) as position
+  from (select conv_id, turn, arg_max(root, depth) as root, max(depth) as depth, arg_max(path, depth) as path from up group by 1, 2)
+)
 select own.conv_id, own.turn, own.role, p.parent::bigint as parent_turn, coalesce(t.root, own.turn)::bigint as root_turn, coalesce(t.depth, 0)::bigint as depth,
-  coalesce(p.n_linked, 0)::bigint as n_linked, coalesce(t.path, lpad(own.turn::varchar, 10, '0')) as order_key, own.body
+  coalesce(t.position, 0)::bigint as position, coalesce(p.n_linked, 0)::bigint as n_linked, own.body
 from own left join parents p on own.conv_id = p.conv_id and own.turn = p.turn left join top t on own.conv_id = t.conv_id and own.turn = t.turn
 """
 
 
-def op7(rules: list[Rule], listed_hosts: tuple[str, ...]) -> str:
+def op7(rules: list[Rule], listed_hosts: tuple[str, ...], listed_tag: str) -> str:
     values = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
     hosts = ", ".join(f"('{h}')" for h in listed_hosts)
     return rf"""
 with r(verdict, host, path) as (values {values}), bad(h) as (values {hosts}),
-u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
+u as (select page_id, contains(coalesce(regexp_extract(url, '\?([^#]*)', 1), ''), '{listed_tag}') as tagged, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages),
 p as (
-  select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u
+  select page_id, tagged, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u
 ),
 c as (select *, case when host <> '' then regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') end as url, row_number() over () as id from p),
-l as (select distinct url from c where exists (select 1 from bad where c.host = h or ends_with(c.host, '.' || h)) and url is not null),
+l as (select distinct url from c where (tagged or exists (select 1 from bad where c.host = h or ends_with(c.host, '.' || h))) and url is not null),
 f as (
   select id, arg_min(r.host || r.path, (-length(r.host || r.path), r.verdict)) as rule, arg_min(r.verdict, (-length(r.host || r.path), r.verdict)) as verdict
   from c join r on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(c.path, r.path) group by 1

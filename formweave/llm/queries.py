@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, mixing, oracles, quality_rules, quotations, secrets, sharding, suffix_dedup, toxicity, url_filter
-from .common import shared_dir, table
+from .common import scratch_path, table
 
 #: The rules that the URL query judges by.
 URL_RULES = [
@@ -19,8 +19,10 @@ URL_RULES = [
     url_filter.Rule("block", "example.net", "/de/8"),
     url_filter.Rule("block", "org", "/es/"),
 ]
-#: Hosts whose pages make up the listing of the URL query.
+#: Hosts whose pages the URL query's listing holds.
 LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org")
+#: Fixed value: the tag in a query string that puts a page's canonical URL on the listing.
+LISTED_TAG = "ref=x"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,19 +34,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    members = F.array(F.col("source"))
-    plan = mixing.plan(docs, members)
-    taken = mixing.repeats(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")), plan, members, "_mx_n")
-    rows = [(s, n, float(plan.targets[s])) for s, n in plan.source_sizes.items()]
-    sources = spark.createDataFrame(rows, "_s string, source_size bigint, target double")
-    # a row per source; their number is bounded by the plan's check
-    joined = taken.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_s")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_mx_n")).alias("taken"))
+    """From the plan's table of sizes, so that texts are read once; a document's pattern is its source."""
+    plan = mixing.plan(table(spark, sf_dir, "documents"), F.array(F.col("source")))
+    taken = mixing.times(plan.sized, plan, "id", "pattern", "n")
+    rows = [(key, plan.source_sizes[s], float(plan.targets[s])) for key, *_ in plan.rows for s in json.loads(key)]
+    sources = mixing.short_table(spark, rows, "source string, source_size bigint, target double")
+    joined = taken.join(sources, F.col("pattern") == F.col("source"))
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"))
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, m = sharding.shard_documents(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    """The table comes in three arrivals, each stored as small shards, and is compacted across them."""
+    root = scratch_path(spark, "shards")
+    docs = table(spark, sf_dir, "documents")
+    for k in range(3):
+        sharding.append(docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0)) == k), root)
+    m = sharding.compact(spark, root)
+    rows = sharding.read(spark, root, m.version)
     return rows.select("doc_id", F.lit(m.version).alias("version"), F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"))
 
 
@@ -57,12 +63,13 @@ def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing: canonical URLs of pages on spam hosts, and of pages that were reached by a referral link."""
     pages = table(spark, sf_dir, "pages")
     host, path = url_filter.parts(F.col("url"))
-    bad = F.lit(False)
+    bad = F.regexp_extract("url", r"\?([^#]*)", 1).contains(LISTED_TAG)
     for h in LISTED_HOSTS:
         bad = bad | (F.col("host") == h) | F.col("host").endswith("." + h)
-    listing = pages.select(host.alias("host"), path.alias("path")).where(bad).select(url_filter.canonical(F.col("host"), F.col("path")).alias("url"))
+    listing = pages.select("url", host.alias("host"), path.alias("path")).where(bad).select(url_filter.canonical(F.col("host"), F.col("path")).alias("url"))
     return url_filter.filter_urls(pages, URL_RULES, listing)
 
 
@@ -90,7 +97,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_suffix_dedup": oracles.OP5,
         "op6_quotes": oracles.OP6,
-        "op7_urls": oracles.op7(URL_RULES, LISTED_HOSTS),
+        "op7_urls": oracles.op7(URL_RULES, LISTED_HOSTS, LISTED_TAG),
         "op8_near_duplicates": oracles.OP8,
         "op10_quality": oracles.OP10,
     }

@@ -11,8 +11,12 @@ documents that hold them: words of 3 to 24 letters in at least MIN_WORD_DOCS doc
 most frequent of them. Values after credential words are left out of the count, so that a copied secret
 does not make itself a word. Fixed lists come before them. Words rarer than that cost brute force.
 
-Defined cases: a null text is empty and has no spans. Offsets are code points, ends exclusive.
-Repeated rows are scanned each. Extra columns are ignored. Whole texts and values are read.
+Defined cases: a null text is empty and has no spans. Offsets are code points, ends exclusive. Spans
+with one start are listed by kind, then end; spans of different kinds may overlap. A value that holds a
+credential word of its own is reported with what follows that word, as two spans. Words held by equally
+many documents rank by their letters, and come into the dictionary or stay out together. Repeated rows
+are scanned each. An empty table gives an empty result. Extra columns are ignored, whatever their names.
+Whole texts and values are read.
 """
 
 from __future__ import annotations
@@ -123,12 +127,20 @@ def guess_bits(value: str, ranks: dict[str, int] | None = None, longest: int | N
     return best[n]
 
 
+def contexts(text: str) -> Iterator[tuple[int, int]]:
+    """Where values stand after credential words; a value is itself searched for a credential word and its value."""
+    m = CONTEXT.search(text)
+    while m:
+        yield m.span(1)
+        m = CONTEXT.search(text, m.start(1))
+
+
 def scan(text: str, min_bits: float = MIN_BITS, ranks: dict[str, int] | None = None, longest: int | None = None) -> list[tuple[int, int, int]]:
     """Spans (kind, start, end) of one text, sorted by start, then kind."""
     found = [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(1, m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
-    found += [(3, *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1], ranks, longest) >= min_bits]
+    found += [(3, a, b) for a, b in contexts(text) if guess_bits(text[a:b], ranks, longest) >= min_bits]
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
@@ -140,6 +152,14 @@ def _hinted(low: bytes) -> bool:
     return any(h in low for h in _HINTS)
 
 
+def _without_values(text: str) -> str:
+    out, last = [], 0
+    for a, b in contexts(text):
+        out.append(text[last : max(a, last)])
+        last = max(b, last)
+    return " ".join([*out, text[last:]])
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word and n, the documents that hold it; a word may come several times."""
     seen: Counter[str] = Counter()
@@ -153,7 +173,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data[a:b].tobytes()
             text = raw.decode("utf-8", "replace")
             if _hinted(raw.lower()):
-                text = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], text)
+                text = _without_values(text)
             seen.update({w for w in _LETTERS.findall(text.lower()) if len(w) <= LONGEST_WORD})
             if len(seen) >= FLUSH_WORDS:
                 yield out()

@@ -5,14 +5,16 @@ is a logistic function of the words it holds and of their first 4 and 5 bytes, s
 forms of a stem count together. Only documents carry labels; the gradient of the
 noisy-or tells each sentence its share. The same sentence scores then locate the worst sentence.
 
-The model is fitted on at most `max_train` labelled documents, those with the smallest hash of
-doc_id, and only where crc32(doc_id) mod 4 is not 2. Everything else is scored, whole texts, by a
-table of feature weights of bounded size.
+The model is fitted on at most `max_train` labelled documents of at most `max_bytes` of text in all,
+those with the smallest hash of doc_id, and only where crc32(doc_id) mod 4 is not 2. Everything else is
+scored, whole texts, by a table of feature weights that is bounded by that sample.
 
 Defined cases: null and empty texts, and texts without words, score 0 and are not predicted toxic.
-A document with several labels is toxic if one says so; null labels teach nothing. Without any
-label of one kind every document scores 0. Repeated rows are scored each. Extra columns are ignored
-by the score and kept by the filter.
+A document with several labels is toxic if one says so; null labels teach nothing, and of rows repeated
+under one labelled doc_id the text that is least in order teaches. Without any label of one kind every
+document scores 0. Of sentences that score alike the first is the worst. Very long texts are scored
+whole, by ranges of rows. Repeated rows are scored each. An empty table gives an empty result. Extra
+columns are ignored by the score and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PUNCT, map_arrow, slices, utf8, words
@@ -96,7 +98,19 @@ def _excess(df: np.ndarray, toxic_df: np.ndarray, share: float) -> np.ndarray:
     return (toxic_df - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, max_features: int = 50_000, min_docs: int = 4, epochs: int = 150, ridge: float = 0.1, min_z: float = 4.0) -> Model:
+def _gradient(theta: np.ndarray, bias: float, index: np.ndarray, sents: np.ndarray, doc: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Gradient, by weights and then bias, of the mean negative log likelihood of the documents' labels, with a ridge on the weights.
+
+    `index` and `sents` name the feature and sentence of each occurrence, `doc` the document of each sentence.
+    """
+    p = _sigmoid(bias + np.bincount(sents, theta[index], len(doc)))
+    none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))  # the chance that no sentence is toxic
+    factor = np.where(y > 0, -none / np.maximum(1 - none, 1e-6), 1.0)
+    g = factor[doc] * p
+    return np.append(np.bincount(index, g[sents], len(theta)) + ridge * theta, g.sum()) / len(y)
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = 4, epochs: int = 150, ridge: float = 0.1, min_z: float = 4.0) -> Model:
     """Fits feature weights by full-batch Adam on the noisy-or likelihood."""
     data, offsets = utf8(texts)
     y = np.asarray(toxic, float)
@@ -149,20 +163,14 @@ def fit(texts: pa.Array, toxic: np.ndarray, max_features: int = 50_000, min_docs
     which, where = seen % max(1, len(vocab)), seen // max(1, len(vocab))
     df = np.bincount(which, minlength=len(vocab))
     z = _excess(df, np.bincount(which, y[where], len(vocab)), share)
-    order = np.argsort(-z, kind="stable")[:max_features]
-    keep = np.zeros(len(vocab), bool)
-    keep[order[(df[order] >= min_docs) & (z[order] >= min_z)]] = True
+    keep = (df >= min_docs) & (z >= min_z)
     used = keep[index]
     index, sents = (np.cumsum(keep) - 1)[index[used]], sents[used]
     n = int(keep.sum())
     theta, bias = np.zeros(n), -6.0
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, epochs + 1):
-        p = _sigmoid(bias + np.bincount(sents, theta[index], n_sent))
-        none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))  # the chance that no sentence is toxic
-        factor = np.where(y > 0, -none / np.maximum(1 - none, 1e-6), 1.0)
-        g = factor[doc] * p
-        grad = np.append(np.bincount(index, g[sents], n) + ridge * theta, g.sum()) / len(y)
+        grad = _gradient(theta, bias, index, sents, doc, y, ridge)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
         theta -= move[:-1]
@@ -187,8 +195,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000) -> Model:
-    """Fits the model on the driver, from at most `max_train` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_bytes: int = 64 << 20) -> Model:
+    """Fits the model on the driver, from at most `max_train` labelled documents, not held out, with `max_bytes` of text in all."""
     marks = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_tx_id"))
@@ -197,7 +205,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000) -> Model:
         .limit(max_train)
     )
     one = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("_tx_id"))
-    got = one.select("text", "_tx_label", "_tx_id").toArrow().sort_by([("_tx_id", "ascending"), ("text", "ascending")])
+    one = one.groupBy("_tx_id", "_tx_label").agg(F.min("text").alias("text"))
+    # at most max_train rows
+    upto = Window.orderBy(F.xxhash64("_tx_id"), "_tx_id").rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("_tx_sum", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("_tx_sum") <= max_bytes)
+    got = one.select("text", "_tx_label", "_tx_id").toArrow().sort_by("_tx_id")
     texts = got["text"].combine_chunks()
     return fit(texts, got["_tx_label"].to_numpy()) if len(texts) else _untaught()
 

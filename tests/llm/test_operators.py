@@ -105,19 +105,6 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix(df, F.array("source")).columns == df.columns
 
 
-def test_shards_round_trip(spark, tmp_path, edge):
-    root = f"file://{tmp_path}/s"
-    sharding.append(edge, root, rows_per_shard=2)
-    sharding.append(edge, root, rows_per_shard=2)
-    m = sharding.compact(spark, root, target=1 << 20)
-    assert m.version == 3 and sharding.versions(spark, root) == [1, 2, 3]
-    back = sharding.read(spark, root).drop("_shard", "_shard_bytes")
-    assert sorted(map(str, back.collect())) == sorted(map(str, edge.collect() * 2))
-    with pytest.raises(RuntimeError):
-        sharding.commit(spark, root, m)
-    assert sharding.load(spark, root) == m
-
-
 def test_tiers_group_similar_sizes():
     s = [sharding.Shard(f"f{i}", 1 << 19) for i in range(9)] + [sharding.Shard("big", 1 << 30)]
     groups = sharding.tiers(s, 4 << 20)
@@ -126,21 +113,6 @@ def test_tiers_group_similar_sizes():
     assert all(sum(x.bytes for x in g) <= 4 << 20 for g in groups if len(g) > 1)
 
 
-def brute_windows(rows, length):
-    """Of rows in order of their documents."""
-    seen, out = set(), {}
-    for d, t in rows:
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - length + 1):
-            if b[i : i + length] in seen:
-                gone[i : i + length] = True
-            seen.add(b[i : i + length])
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[d] = (len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    return out
-
-
 def test_merge_of_transforms_matches_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -178,7 +150,7 @@ def test_quotes_link_and_order(spark):
     parent = {k: r["parent_turn"] for k, r in got.items() if k[0] == 1}
     assert parent == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): None, (1, 5): None}
     assert got[(1, 2)]["depth"] == 2 and got[(1, 2)]["root_turn"] == 0 and got[(1, 2)]["body"] == "fine"
-    order = [k[1] for k, r in sorted(((k, r) for k, r in got.items() if k[0] == 1), key=lambda x: x[1]["order_key"])]
+    order = [k[1] for k, r in sorted(((k, r) for k, r in got.items() if k[0] == 1), key=lambda x: (x[1]["root_turn"], x[1]["position"]))]
     assert order == [0, 1, 2, 3, 4, 5]
     assert got[(2, 1)]["body"] == "" and got[(1, 5)]["body"] == ""
 

@@ -30,3 +30,42 @@ def test_feature_beside_a_frequent_neutral_one_is_learned():
     texts = [f"{neutral} word{i % 7} more text. {bad if i % 4 == 0 else 'fine'} end." for i in range(200)]
     model = toxicity.fit(pa.array(texts), np.array([i % 4 == 0 for i in range(200)]))
     assert model.weigh(hashes([bad]))[0] > 0 and model.weigh(hashes([neutral]))[0] == 0
+
+
+def loss(theta, bias, index, sents, doc, y, ridge):
+    """Mean negative log likelihood, document by document."""
+    total = 0.0
+    for d, label in enumerate(y):
+        none = 1.0
+        for s in (s for s, own in enumerate(doc) if own == d):
+            z = bias + sum(theta[f] for f, at in zip(index, sents, strict=True) if at == s)
+            none *= 1 - 1 / (1 + np.exp(-z))
+        total -= np.log(1 - none if label else none)
+    return (total + ridge * (theta**2).sum() / 2) / len(y)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    doc = np.sort(rng.integers(0, 6, 20))
+    index, sents = rng.integers(0, 5, 40), rng.integers(0, 20, 40)
+    y = np.array([1.0, 0, 1, 0, 0, 1])
+    theta, bias = rng.normal(0, 0.5, 5), -0.7
+    got = toxicity._gradient(theta, bias, index, sents, doc, y, 0.1)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        up, down = (loss(theta + f * step[:5], bias + f * step[5], index, sents, doc, y, 0.1) for f in (1, -1))
+        assert abs((up - down) / 2e-6 - got[k]) < 1e-5
+
+
+def test_teaching_rows_are_bounded_by_bytes_and_one_for_each_id(spark, monkeypatch):
+    rows = [(i, f"text {i % 2} " * 10) for i in range(40) for _ in range(1 + (i == 5) * 30)] + [(5, "another text")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id bigint, text string, _tx_id int, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: taught.append(texts.to_pylist()) or toxicity._untaught())
+    toxicity.train(df, labels)
+    toxicity.train(df, labels, max_bytes=400)
+    assert 20 < len(taught[0]) <= 40 and taught[0].count("another text") <= 1
+    assert 0 < sum(map(len, taught[1])) <= 400
+    assert toxicity.judge(df.limit(0), labels).count() == 0
