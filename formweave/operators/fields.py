@@ -12,8 +12,9 @@ from formweave.operators import matching
 
 def from_lines(lines: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc, keyword, value, priority: `label: value` on a line (0), a bare label with the next value line (1), a prefix (2)."""
-    ahead = L.next_value(lines, key=key).withColumn("_head", text.before_colon(F.col("line"))).withColumn("_rest", text.clean_value(text.after_colon(F.col("line"))))
-    known = matching.exact(ahead, "_head", dictionary).where("keyword is not null")
+    headed = lines.withColumn("_head", text.before_colon(F.col("line"))).withColumn("_rest", text.clean_value(text.after_colon(F.col("line"))))
+    # a bare line that is a caption is no value of the one above
+    known = L.next_value(matching.exact(headed, "_head", dictionary), key=key, label=F.col("keyword").isNotNull()).where("keyword is not null")
     inline = known.where("_rest <> ''").select(key, "keyword", "line_no", F.col("_rest").alias("value"), F.lit(0).alias("priority"))
     below = known.where("_rest = ''").select(key, "keyword", "line_no", "value", F.lit(1).alias("priority"))
     prefix = L.longest_prefix(lines, dictionary, key=key).where("rest <> ''").select(key, "keyword", "line_no", F.col("rest").alias("value"), F.lit(2).alias("priority"))
@@ -36,8 +37,8 @@ def canonical(values: DataFrame, docs: DataFrame, keywords: DataFrame, key: str
 
 
 def score(values: DataFrame, kinds: DataFrame, strict: float = 0.8) -> DataFrame:
-    """Adds kind, confidence, source and strict: non-empty with at least the strict confidence."""
+    """Adds kind, confidence, reason, source and strict: non-empty with at least the strict confidence."""
     out = values.join(matching.small(kinds), "keyword", "left").withColumn("kind", F.coalesce("kind", F.lit("text")))
-    conf = F.round(text.score_value(F.col("value"), F.col("kind")), 2)
-    out = out.withColumn("confidence", conf).withColumn("source", F.when(F.col("value") != "", "matched").otherwise("not-found"))
+    out = out.withColumn("_a", text.assess_value(F.col("value"), F.col("kind")))
+    out = out.withColumn("confidence", F.round("_a.confidence", 2)).withColumn("reason", F.col("_a.reason")).drop("_a").withColumn("source", F.when(F.col("value") != "", "matched").otherwise("not-found"))
     return out.withColumn("strict", (F.col("value") != "") & (F.col("confidence") >= strict))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formweave.functions import text
@@ -18,16 +18,28 @@ def context_window(lines: DataFrame, k: int = 2, key: str = "doc_id") -> DataFra
     return lines.withColumn("context", F.array_join(F.collect_list("line").over(w), " "))
 
 
-def next_value(lines: DataFrame, reach: int = 4, key: str = "doc_id") -> DataFrame:
-    """Adds `value`: the first of the next lines that is informative, not numbered and not `label: value`."""
+def next_value(lines: DataFrame, reach: int = 4, key: str = "doc_id", label: Column | None = None) -> DataFrame:
+    """Adds `value`: the first of the next lines that is informative, no numbered item, no label and without a colon.
+
+    `label`: whether a line is the caption of a field.
+    """
     w = Window.partitionBy(key).orderBy("line_no")
-    line = F.col("line")
-    ok = text.informative(line) & ~line.rlike(r"^\s*\d{1,2}[.)]") & ~line.rlike(r"^[^:]+:\s*\S")
-    marked = lines.withColumn("_ok", F.when(ok, text.clean_value(line)))
+    line = text.clean_value(F.col("line"))
+    ok = text.informative(line) & ~line.rlike(r"^\d+[.)]\s") & ~line.contains(":")
+    if label is not None:
+        ok = ok & ~F.coalesce(label, F.lit(False))
+    marked = lines.withColumn("_ok", F.when(ok, line))
     ahead = F.coalesce(*(F.lead("_ok", i).over(w) for i in range(1, reach + 1)), F.lit(""))
     return marked.withColumn("value", ahead).drop("_ok")
 
 
+def ticked_ahead(lines: DataFrame, reach: int = 2, key: str = "doc_id") -> DataFrame:
+    """key, line_no, ahead: for each line with a ticked box, that line and the next ones, joined by blanks."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    near = F.concat_ws(" ", "line", *(F.lead("line", i).over(w) for i in range(1, reach + 1)))
+    return lines.withColumn("ahead", near).where(F.col("line").rlike(r"[☑☒✓✔]|\[" + text.MARK + r"\]")).select(key, "line_no", "ahead")
+
+
 def section_ranges(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Numbered sections with first line and the line before the next header; of equal numbers the last one counts."""
     header = F.regexp_extract("line", r"^\s*#?\s*(\d{1,2})[.)\- ]", 1)

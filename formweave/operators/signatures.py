@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formweave.functions import text
@@ -28,13 +28,34 @@ def not_printed(boxes: DataFrame, blocks: DataFrame, page: list[str], overlap: f
     return boxes.join(hit, [*page, "box_id"], "left_anti")
 
 
-def signers(boxes: DataFrame, blocks: DataFrame, page: list[str], keywords: str = r"(?i)\b(?:signature|signed|date|name)\b") -> DataFrame:
-    """page, box_id, signer: the nearest text of three characters in the box's window that is no caption, else Unknown_Signer."""
-    t = blocks.select(*page, F.col("text").alias("_t"), ((F.col("x0") + F.col("x1")) / 2).alias("_cx"), ((F.col("y0") + F.col("y1")) / 2).alias("_cy"), F.col("y0").alias("_top"))
-    t = t.where((F.length("_t") > 2) & ~F.col("_t").rlike(keywords))
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    near = boxes.join(t, page).where((F.col("_top") >= F.col("y0") - ABOVE) & (F.col("_top") <= F.col("y1") + BELOW) & (F.abs(F.col("_cx") - cx) <= ASIDE))
-    best = near.groupBy(*page, "box_id").agg(F.min_by("_t", F.struct(F.sqrt((F.col("_cx") - cx) * (F.col("_cx") - cx) + (F.col("_cy") - cy) * (F.col("_cy") - cy)), F.col("_t"))).alias("signer"))
+#: What stands before a signer's name, and what no name holds.
+ANCHOR = r"(?i)(?:Name|By|Printed Name|Signer)[:\s]*([A-Za-z\s]{3,30})"
+NO_NAMES = ("date", "title", "signed", "page")
+
+
+def _slug(c: Column) -> Column:
+    return F.regexp_replace(F.replace(c, F.lit(" "), F.lit("_")), "[^a-zA-Z0-9_]", "")
+
+
+def signers(boxes: DataFrame, blocks: DataFrame, page: list[str], person=None) -> DataFrame:
+    """page, box_id, signer, by the texts in the box's window from the nearest on: a person's name, a name behind an anchor, a text that is no caption.
+
+    Distances run from the middle of the box's lower edge to the middle of the text's upper edge. `person` is a
+    function of a text column that gives the name of a person in it or null; without one that step is left out.
+    """
+    t = blocks.select(*page, F.col("text").alias("_t"), ((F.col("x0") + F.col("x1")) / 2).alias("_cx"), F.col("y0").alias("_top"))
+    cx = (F.col("x0") + F.col("x1")) / 2
+    near = boxes.join(t, page).where((F.col("_top") >= F.col("y0") - ABOVE) & (F.col("_top") <= F.col("y1") + BELOW) & (F.abs(F.col("_cx") - cx) < ASIDE))
+    anchored, plain = F.regexp_extract("_t", ANCHOR, 1), _slug(F.col("_t"))
+    is_name = F.length(plain) > 2
+    for word in NO_NAMES:
+        is_name = is_name & ~F.lower(plain).contains(word)
+    steps = [(F.lit(0), _slug(person(F.col("_t"))))] if person else []
+    steps += [(F.lit(1), F.when(anchored != "", _slug(F.trim(anchored)))), (F.lit(2), F.when(is_name, plain))]
+    found = F.filter(F.array(*(F.struct(k.alias("k"), v.alias("v")) for k, v in steps)), lambda x: x["v"].isNotNull())
+    far = F.hypot(F.col("_cx") - cx, F.col("_top") - F.col("y1"))
+    best = near.select(*page, "box_id", far.alias("_d"), "_t", F.explode(found).alias("_f"))
+    best = best.groupBy(*page, "box_id").agg(F.min_by("_f.v", F.struct("_f.k", "_d", "_t")).alias("signer"))
     return boxes.select(*page, "box_id").join(best, [*page, "box_id"], "left").withColumn("signer", F.coalesce("signer", F.lit("Unknown_Signer")))
 
 

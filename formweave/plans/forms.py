@@ -116,7 +116,7 @@ def normalized_texts(spark, sf):
 
 
 @query(
-    """select doc_id, line_no, case when starts_with(g, '☒ ') then '- [x]' || substr(g, 2) when starts_with(g, '☐ ') then '- [ ]' || substr(g, 2) else replace(replace(g, '☒', '[x]'), '☐', '[ ]') end as token
+    """select doc_id, line_no, case when starts_with(g, '☒ ') then '- [x] ' || ltrim(substr(g, 2)) when starts_with(g, '☐ ') then '- [ ] ' || ltrim(substr(g, 2)) else g end as token
     from (select *, replace(replace(line, '[x]', '☒'), '[ ]', '☐') as g from v_form)""",
     "v_form",
 )
@@ -142,8 +142,8 @@ _FURN = f"exists (select 1 from v_dict where alias_norm = n or (length(alias_nor
 
 @query(
     rf"""select doc_id, line_no, furniture, length(c) < 2 or c like '%?' or regexp_matches(c, '^\d{{1,2}}$') or ({_N} >= 8 or ({_N} >= 5 and regexp_matches(c, '[.:;]$'))) or furniture
-      or ({_N} - regexp_matches(c, '^\d{{1,2}}[.)]?\s+')::int >= 3 and not regexp_matches(bare, '\d') and regexp_matches(bare, '[A-Z]') and not regexp_matches(bare, '[a-z]')) as form_text
-    from (select *, regexp_replace(c, '^\d{{1,2}}[.)]?\s+', '') as bare, n <> '' and {_FURN} as furniture from (select *, {CLEAN.format('line')} as c, {NORM.format('line')} as n from v_form))""",
+      or ({_N} - regexp_matches(c, '^\d{{1,2}}\s+')::int >= 3 and not regexp_matches(bare, '\d') and regexp_matches(bare, '[A-Z]') and not regexp_matches(bare, '[a-z]')) as form_text
+    from (select *, regexp_replace(c, '^\d{{1,2}}\s+', '') as bare, n <> '' and {_FURN} as furniture from (select *, {CLEAN.format('line')} as c, {NORM.format('line')} as n from v_form))""",
     "v_form v_dict",
 )
 def form_texts(spark, sf):
@@ -156,7 +156,7 @@ _KINDS = ["date", "percent", "identifier", "yesno", "text", "other"]
 
 @query(
     rf"""select doc_id, line_no, kind, case when line = '' then 0.0 when line = 'BOTH' then 0.35 when kind = 'date' then case when regexp_matches(line, '\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b') then 0.95 else 0.25 end
-      when kind = 'percent' then case when regexp_matches(line, '\b\d+(?:\.\d+)?%\b') then 0.95 else 0.2 end when kind = 'identifier' then case when regexp_matches(line, '[A-Z0-9-]{{6,}}') then 0.9 else 0.35 end
+      when kind = 'percent' then case when regexp_matches(line, '\b\d+(?:\.\d+)?%\b') then 0.95 else 0.2 end when kind = 'identifier' then case when regexp_matches(line, '(?i)\b[A-Z0-9-]{{6,}}\b') then 0.9 else 0.35 end
       when kind = 'yesno' then case when line in ('YES', 'NO') then 0.9 else 0.35 end when kind = 'text' then case when length(line) >= 3 then 0.8 else 0.3 end else 0.75 end::double as confidence
     from (select *, ({_KINDS})[(line_no + doc_id) % 6 + 1] as kind from v_form)""",
     "v_form",
@@ -365,25 +365,26 @@ def rejected_table_fields(spark, sf):
     return schema.fields_of_rejected(cells, ["p_partkey"])
 
 
-_BOXES = "select p_partkey % 100 as page, p_partkey as box_id, p_size * 10.0::double as x0, (p_partkey % 37) * 20.0::double as y0, p_size * 10.0::double + (p_partkey % 7) * 20 + 20 as x1, (p_partkey % 37) * 20.0::double + 40 as y1 from part"
-_BLOCKS = "select c_custkey % 100 as page, c_name as text, (c_custkey % 60) * 10.0::double as x0, (c_custkey % 41) * 20.0::double as y0, (c_custkey % 60) * 10.0::double + 100 as x1, (c_custkey % 41) * 20.0::double + 20 as y1, case when c_custkey % 3 = 0 then 0.97 else 0.5 end as score from customer"
+_BOXES = "select p_partkey // 16 as page, p_partkey as box_id, p_size * 10.0::double as x0, (p_partkey % 37) * 20.0::double as y0, p_size * 10.0::double + (p_partkey % 7) * 20 + 20 as x1, (p_partkey % 37) * 20.0::double + 40 as y1 from part"
+_BLOCKS = "select c_custkey // 16 as page, c_name as text, (c_custkey % 60) * 10.0::double as x0, (c_custkey % 41) * 20.0::double as y0, (c_custkey % 60) * 10.0::double + 100 as x1, (c_custkey % 41) * 20.0::double + 20 as y1, case when c_custkey % 3 = 0 then 0.97 else 0.5 end as score from customer"
 _KEPT = f"""select * from ({_BOXES}) b where (x1 - x0) * (y1 - y0) / 1000000 >= 0.005 and not exists (select 1 from ({_BLOCKS}) t where t.page = b.page and t.score >= 0.95
   and greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0))
     >= 0.2 * greatest(1, (b.x1 - b.x0) * (b.y1 - b.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0))))"""
-_SIGNED = f"""select b.page, b.box_id, b.x0, b.y0, coalesce(t.text, 'Unknown_Signer') as signer from ({_KEPT}) b left join (select page, box_id, text from (select b.page, b.box_id, t.text,
-  row_number() over (partition by b.page, b.box_id order by sqrt(((t.x0 + t.x1) / 2 - (b.x0 + b.x1) / 2) ** 2 + ((t.y0 + t.y1) / 2 - (b.y0 + b.y1) / 2) ** 2), t.text) as r
-  from ({_BOXES}) b join ({_BLOCKS}) t on t.page = b.page and t.y0 >= b.y0 - 30 and t.y0 <= b.y1 + 250 and abs((t.x0 + t.x1) / 2 - (b.x0 + b.x1) / 2) <= 400) where r = 1) t on t.page = b.page and t.box_id = b.box_id"""
+_SLUG = "regexp_replace(replace({}, ' ', '_'), '[^a-zA-Z0-9_]', '', 'g')"
+_SIGNED = f"""select b.page, b.box_id, b.x0, b.y0, coalesce(t.signer, 'Unknown_Signer') as signer from ({_KEPT}) b left join (select page, box_id, signer from (select b.page, b.box_id, {_SLUG.format('t.text')} as signer,
+  row_number() over (partition by b.page, b.box_id order by sqrt(((t.x0 + t.x1) / 2 - (b.x0 + b.x1) / 2) ** 2 + (t.y0 - b.y1) ** 2), t.text) as r
+  from ({_BOXES}) b join ({_BLOCKS}) t on t.page = b.page and t.y0 >= b.y0 - 30 and t.y0 <= b.y1 + 250 and abs((t.x0 + t.x1) / 2 - (b.x0 + b.x1) / 2) < 400) where r = 1) t on t.page = b.page and t.box_id = b.box_id"""
 
 
 def _boxes(spark, sf):
     x, y, k = F.col("p_size") * 10.0, (F.col("p_partkey") % 37) * 20.0, F.col("p_partkey")
-    return table(spark, sf, "part").select((k % 100).alias("page"), k.alias("box_id"), x.alias("x0"), y.alias("y0"), (x + (k % 7) * 20 + 20).alias("x1"), (y + 40).alias("y1"), F.lit(1000.0).alias("page_width"), F.lit(1000.0).alias("page_height"))
+    return table(spark, sf, "part").select(F.floor(k / 16).alias("page"), k.alias("box_id"), x.alias("x0"), y.alias("y0"), (x + (k % 7) * 20 + 20).alias("x1"), (y + 40).alias("y1"), F.lit(1000.0).alias("page_width"), F.lit(1000.0).alias("page_height"))
 
 
 def _blocks(spark, sf):
     k = F.col("c_custkey")
     x, y = (k % 60) * 10.0, (k % 41) * 20.0
-    return table(spark, sf, "customer").select((k % 100).alias("page"), F.col("c_name").alias("text"), x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 20).alias("y1"), F.when(k % 3 == 0, 0.97).otherwise(0.5).alias("score"))
+    return table(spark, sf, "customer").select(F.floor(k / 16).alias("page"), F.col("c_name").alias("text"), x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 20).alias("y1"), F.when(k % 3 == 0, 0.97).otherwise(0.5).alias("score"))
 
 
 @query(f"select page, box_id from ({_KEPT})")
@@ -398,7 +399,7 @@ def signature_signers(spark, sf):
 
 
 _TITLES = """select page, coalesce(arg_min(substr(regexp_replace(replace(text, ' ', '_'), '[^A-Za-z0-9_]', '', 'g'), 1, 25), r) filter (length(text) > 4 and not regexp_matches(text, '^\\d+$')), 'Untitled') as title
-  from (select c_custkey % 100 as page, c_name as text, row_number() over (partition by c_custkey % 100 order by (c_custkey % 41) * 20, c_name) as r from customer) where r <= 3 group by 1"""
+  from (select c_custkey // 16 as page, c_name as text, row_number() over (partition by c_custkey // 16 order by (c_custkey % 41) * 20, c_name) as r from customer) where r <= 3 group by 1"""
 
 
 @query(_TITLES)

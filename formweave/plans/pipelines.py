@@ -93,8 +93,8 @@ def plausible_values(spark, sf):
 
 
 _CAMEL = "array_to_string(list_transform(list_filter(string_split_regex(label, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: upper(w[1:1]) || lower(w[2:])), '')"
-_KIND = r"""case when regexp_matches(lower(label), '\b(?:date|dob|day)\b') then 'date' when regexp_matches(lower(label), '\b(?:signature|signed)\b') then 'signature'
-  when regexp_matches(lower(label), '\b(?:amount|number|no|total|qty|price)\b') then 'number' else 'text' end"""
+_KIND = r"""case when regexp_matches(upper(label), '\bDATE\b|DD[-/]MM|MM[-/]YY|\bDOB\b|\bBIRTH\b') then 'date' when regexp_matches(upper(label), '\bSIGNATURE\b') then 'signature'
+  when regexp_matches(upper(label), '\bNO\.|NUMBER\b|\bAMOUNT\b|\bRM\b|\bCODE\b|%') then 'number' else 'text' end"""
 
 
 @query(

@@ -86,8 +86,16 @@ def test_labels(spark, line, label):
 
 def test_signer_is_unknown_without_a_text_in_the_window(spark):
     boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 50.0), (2, 2, 0.0, 0.0, 100.0, 50.0)], "page int, box_id int, x0 double, y0 double, x1 double, y1 double")
-    blocks = spark.createDataFrame([(1, "Signature", 0.0, 60.0, 90.0, 70.0), (1, "Ann Bee", 0.0, 90.0, 90.0, 99.0), (2, "Far", 0.0, 900.0, 90.0, 910.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
-    assert {r["box_id"]: r["signer"] for r in signatures.signers(boxes, blocks, ["page"]).collect()} == {1: "Ann Bee", 2: "Unknown_Signer"}
+    blocks = spark.createDataFrame([(1, "Date signed", 0.0, 60.0, 90.0, 70.0), (1, "Ann Bee", 0.0, 90.0, 90.0, 99.0), (2, "Far", 0.0, 900.0, 90.0, 910.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert {r["box_id"]: r["signer"] for r in signatures.signers(boxes, blocks, ["page"]).collect()} == {1: "Ann_Bee", 2: "Unknown_Signer"}
+
+
+def test_signer_behind_an_anchor_goes_before_a_nearer_text(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 50.0)], "page int, box_id int, x0 double, y0 double, x1 double, y1 double")
+    blocks = spark.createDataFrame([(1, "Nearer Text", 0.0, 52.0, 90.0, 70.0), (1, "Name: Bo Ray", 0.0, 90.0, 90.0, 99.0), (1, "Printed Name: Cy", 0.0, 190.0, 90.0, 199.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert signatures.signers(boxes, blocks, ["page"]).first()["signer"] == "Bo_Ray"
+    person = lambda t: F.when(t.contains("Nearer"), F.lit("Nora Near"))
+    assert signatures.signers(boxes, blocks, ["page"], person).first()["signer"] == "Nora_Near"
 
 
 def test_renderers_escape(spark):
