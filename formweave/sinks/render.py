@@ -72,3 +72,51 @@ def dictionary_json(aliases: DataFrame, kinds: DataFrame, threshold: float = 0.9
     held = names.join(kinds, "keyword", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("o", "keyword", "a", F.coalesce("kind", F.lit("text")).alias("kind")))).alias("f"))
     keys = F.transform("f", lambda x: x["keyword"])
     return held.select(F.to_json(F.struct(keys.alias("keywords"), F.map_from_arrays(keys, F.transform("f", lambda x: x["kind"])).alias("field_types"), F.map_from_arrays(keys, F.transform("f", lambda x: x["a"])).alias("aliases"), F.lit(threshold).alias("fuzzy_threshold"))).alias("payload"))
+
+
+def result_json(scored: DataFrame, tables: DataFrame, keywords: list[str], strict: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """key, payload: the whole result of each document, by keyword in the declared order.
+
+    `scored` has keyword, value, confidence, reason, source; `tables` has table_name, columns and rows (maps) of each table.
+    """
+    place = F.array_position(F.array(*map(F.lit, keywords)), F.col("keyword")).cast("int")
+    held = scored.withColumn("_o", place).where("_o > 0").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_o", "keyword", "value", "confidence", "reason", "source"))).alias("f"))
+    grids = tables.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("table_name", "columns", "rows"))).alias("t"))
+    as_map = lambda a, k, v: F.map_from_arrays(F.transform(a, k), F.transform(a, v))
+    name = lambda x: x["keyword"]
+    sure = F.filter("f", lambda x: (x["value"] != "") & (x["confidence"] >= strict))
+    unsure = F.filter("f", lambda x: (x["value"] == "") | (x["confidence"] < strict))
+    grid = F.coalesce("t", F.array().cast("array<struct<table_name:string,columns:array<string>,rows:array<map<string,string>>>>"))
+    body = F.struct(
+        F.array(*map(F.lit, keywords)).alias("keywords"),
+        as_map("f", name, lambda x: x["value"]).alias("fields"),
+        as_map("f", name, lambda x: F.struct(x["value"].alias("value"), x["confidence"].alias("confidence"), x["reason"].alias("reason"), x["source"].alias("source"))).alias("fieldDetails"),
+        F.lit(strict).alias("strictConfidenceThreshold"),
+        as_map(sure, name, lambda x: x["value"]).alias("strictFields"),
+        F.transform(unsure, name).alias("strictUnmatchedKeywords"),
+        F.transform(F.filter("f", lambda x: x["value"] == ""), name).alias("unmatchedKeywords"),
+        as_map(grid, lambda x: x["table_name"], lambda x: F.struct(x["columns"].alias("columns"), x["rows"].alias("rows"))).alias("tableData"),
+    )
+    return held.join(grids, key, "left").select(key, F.to_json(body).alias("payload"))
+
+
+def record_markdown(records: DataFrame, columns: Column, table: list[str]) -> DataFrame:
+    """table, body: a table's records as a Markdown table under its columns; absent values are empty."""
+    joined = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    line = joined(F.transform(columns, lambda c: escape_pipe(F.coalesce(F.try_element_at("record", c), F.lit("")))))
+    rows = records.select(*table, "row_no", line.alias("_l"), joined(columns).alias("_h"), joined(F.transform(columns, lambda c: F.lit("---"))).alias("_r"))
+    packed = rows.groupBy(*table, "_h", "_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "_l"))), lambda x: x["_l"]).alias("_ls"))
+    return packed.select(*table, F.array_join(F.concat(F.array("_h", "_r"), "_ls"), "\n").alias("body"))
+
+
+def failure_report(title: Column, document: Column, seconds: Column, details: Column) -> Column:
+    """The report of a document that could not be read, as Markdown."""
+    return F.concat_ws("\n", title, F.lit(""), F.concat(F.lit("Input document: `"), document, F.lit("`")), F.concat(F.lit("Execution time: "), seconds.cast("string")), F.lit(""), details, F.lit(""))
+
+
+def output_path(summary: Column, kind: str) -> Column:
+    """Where the `readable`, `json` or `html` form of a summary goes: beside it, by its extension; Markdown if it has none."""
+    ext = F.regexp_extract(summary, r"[^/.][^/]*?(\.[^./]*)$", 1)
+    base = summary.substr(F.lit(1), F.length(summary) - F.length(ext))
+    tail = F.concat(F.lit("_readable"), F.when(ext != "", ext).otherwise(".md")) if kind == "readable" else F.lit("." + kind)
+    return F.concat(base, tail)
