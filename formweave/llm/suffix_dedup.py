@@ -284,10 +284,12 @@ def _deeper(length: int, k: int):
     return rows
 
 
-def _fold(carry: bool):
+def _fold(carry: bool, hot: int = HOT):
     """Of rows ordered by (h, g, doc, tag, sn): copies of a segment (h null), and first segments of grams that several segments hold.
 
     `nth` counts the distinct segments of a gram from 0. The state that passes from batch to batch is two rows.
+    With `carry` the rows have bytes, and `busy` tells which grams are known to be hot: their segments are dealt
+    to several tasks, and all first ones come out, with `hot` for `nth`.
     """
     more = ["bytes"] if carry else []
 
@@ -325,7 +327,10 @@ def _fold(carry: bool):
                 order = place[first]
                 shared = order > 0
                 shared[:-1] |= order[1:] > 0
-                if held is not None and order[0] > 0:
+                if carry:
+                    busy = batch["busy"].to_numpy(zero_copy_only=False)[first]
+                    shared, order = shared | busy, np.where(busy, hot, order)
+                if held is not None and place[first[0]] > 0:
                     yield out(held, np.zeros(1, np.int64), np.zeros(1))
                 held = None if shared[-1] else batch.slice(int(first[-1]), 1)
                 if shared.any():
@@ -432,11 +437,26 @@ def tagged(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("bigint").alias("tag"), "text")
 
 
-def _folded(found: DataFrame, carry: bool = False) -> DataFrame:
+_FOLDED = "h bigint, doc bigint, tag bigint, sn bigint, nth int"
+
+
+def _folded(found: DataFrame) -> DataFrame:
     """Copies and shared first segments of found segments, written to the shared folder."""
     dealt = found.repartition("key").drop("key").sortWithinPartitions("h", "g", "doc", "tag", "sn")
-    schema = "h bigint, doc bigint, tag bigint, sn bigint, nth int" + (", bytes binary" if carry else "")
-    return materialise(map_arrow(dealt, _fold(carry), schema), "segments")
+    return materialise(map_arrow(dealt, _fold(False), _FOLDED), "segments")
+
+
+def _folded_again(split: DataFrame, length: int, k: int, hot: int) -> DataFrame:
+    """The same for segments of hot grams, split by k-grams. Of these the hot ones are counted first, and dealt by segment and not by gram."""
+    found = materialise(map_arrow(split, _deeper(length, k), _FOUND + ", bytes binary"), "found")
+    busy = found.where("h is not null").groupBy("h").count().where(F.col("count") > hot).select(F.col("h").alias("bh"))
+    busy = F.broadcast(busy) if busy.count() <= BROADCAST_IDS else busy
+    dealt = found.join(busy, F.col("h") == F.col("bh"), "left").withColumn("busy", F.col("bh").isNotNull())
+    dealt = dealt.withColumn("key", F.when(F.col("busy"), F.xxhash64("h", "g")).otherwise(F.col("key")))
+    dealt = dealt.select("key", "h", "g", "doc", "tag", "sn", "busy", "bytes").repartition("key").drop("key").sortWithinPartitions("h", "g", "doc", "tag", "sn")
+    folded = materialise(map_arrow(dealt, _fold(True, hot), _FOLDED + ", bytes binary"), "segments")
+    discard(found)
+    return folded
 
 
 def _merged(cut: DataFrame, length: int) -> DataFrame:
@@ -453,18 +473,20 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     joined = texts.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("doc_tag"))).select("doc_id", "tag", "text", "wanted")
     cut = first_cut = materialise(map_arrow(joined, _cut(length), "h bigint, doc bigint, tag bigint, sn bigint, bytes binary"), "cut")
     for k in (DEEPER, length):
-        # a gram has one segment of that place, so this is a table of hot grams
-        grams = folded.where(F.col("nth") == hot).select(F.col("h").alias("hot"))
+        grams = folded.where(F.col("nth") == hot).select(F.col("h").alias("hot")).distinct()
         n = grams.count()
         if not n:
             break
         grams = F.broadcast(grams) if n <= BROADCAST_IDS else grams
         out = out.unionByName(_merged(cut.join(grams, F.col("h") == F.col("hot"), "left_anti"), length))
         split = cut.join(grams, F.col("h") == F.col("hot"), "left_semi").select("h", "doc", "tag", "sn", "bytes")
-        folded = _folded(map_arrow(split, _deeper(length, k), _FOUND + ", bytes binary"), True)
+        folded = _folded_again(split, length, k, hot)
         out = out.unionByName(folded.where("h is null").select("doc", "tag", "sn"))
         cut = folded.where("h is not null")
-    # after the last split single windows are left, and those of one gram are all equal, so none is left to merge
+    else:
+        # single windows of one gram are all equal, so none is left to merge
+        discard(first_cut)
+        return out
     out = out.unionByName(_merged(cut, length))
     discard(first_cut)
     return out

@@ -102,3 +102,43 @@ def test_shard_stage_keeps_every_row(spark):
     sizes = {}
     for r in got:
         assert sizes.setdefault(r["shard"], r["shard_bytes"]) == r["shard_bytes"] > 0
+
+
+def test_mixing_stage(spark):
+    import corpus_pipeline as p
+    from formweave.llm import mixing
+
+    rows = [(i, " ".join(prose(i, 3 + i % 25)) if i % 40 else None) for i in range(500)]
+    df = docs(spark, rows)
+    again = [Counter(r["doc_id"] for r in p.mix_sources(spark, df.repartition(3 + k), "").collect()) for k in range(2)]
+    assert again[0] == again[1] and p.mix_sources(spark, df, "").columns == df.columns
+    words = {d: len((t or "").split()) for d, t in rows}
+    sizes = Counter()
+    for d, n in words.items():
+        sizes[f"s{d % 3}"] += n
+    for source, target in mixing.targets_for(dict(sizes)).items():
+        own = [d for d in words if f"s{d % 3}" == source]
+        # all documents of a source are taken equally often, or once more up to a cut in the seeded order
+        counts = {again[0][d] for d in own}
+        assert max(counts) - min(counts) <= 1 and max(counts) <= 3
+        assert abs(sum(again[0][d] * words[d] for d in own) - target) <= max(words[d] for d in own) / 2 + 1
+
+
+def test_stages_pass_empty_tables_nulls_and_other_columns(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    tables = {
+        "labels": spark.createDataFrame([(i, 0) for i in range(4)], "doc_id bigint, toxic int"),
+        "benchmark": spark.createDataFrame([(1, " ".join(prose(1, 20)))], "item_id bigint, text string"),
+    }
+    monkeypatch.setattr(p, "table", lambda spark, sf, name: tables[name])
+    clashing = SCHEMA + ", _nd_id int, kept int, _times int, _key string, _id int, _tag int, score double, tag bigint"
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, None, "en", "a", 0), (3, "word", "en", "a", 4), (3, "word", "en", "a", 4), (4, " ".join(prose(2, 30_000)), "en", "b", 1)]
+    for data in ([], [(*r, 1, 2, 3, "k", 4, 5, 0.5, 6) for r in rows]):
+        df = spark.createDataFrame(data, clashing)
+        for _, stage in p.STAGES[:-1]:
+            df = stage(spark, df, "")
+            assert df.columns == [c.split()[0] for c in clashing.split(", ")]
+        left = df.collect()
+        assert bool(left) == bool(data) and {r["_key"] for r in left} <= {"k"}
+        assert p.shard(spark, df, "").count() == len(left)

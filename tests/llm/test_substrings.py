@@ -61,15 +61,16 @@ def least_gram(length, k):
         t = prose(50_000 + seed, 60).encode()
         data = np.frombuffer(t, np.uint8)
         _, h, _, start, _ = suffix_dedup.segments(data, np.array([0, len(t)]), length, k)
-        if int(h.min()) < best[0]:
-            # the last window that picks a gram begins with it
-            s = int(start[h.argmin() + 1]) - 1 if h.argmin() + 1 < len(start) else 0
+        i = int(h.argmin())
+        # the last window that picks a gram begins with it, unless the text ends before
+        if int(h.min()) < best[0] and i + 1 < len(start):
+            s = int(start[i + 1]) - 1
             best = int(h.min()), t[s : s + length].decode()
     return best[1]
 
 
 @pytest.mark.parametrize("boiler", [24, 80, 130])
-def test_hot_grams_are_split_exactly(spark, boiler):
+def test_hot_grams_are_split_exactly(spark, monkeypatch, boiler):
     core = least_gram(100, 24)[:boiler].ljust(boiler, "k")
     rows = []
     for i in range(150):
@@ -80,8 +81,13 @@ def test_hot_grams_are_split_exactly(spark, boiler):
         if i % 5 == 0:
             rows.append((2000 + i, "x" + text[:200] + "y"))
     want = brute(spark, rows)
-    for hot in (4, 40, 2048):
+    split = []
+    again = suffix_dedup._folded_again
+    monkeypatch.setattr(suffix_dedup, "_folded_again", lambda *a: split.append(a[2]) or again(*a))
+    for hot, least in ((4, 1), (40, 1), (2048, 0)):
+        del split[:]
         assert result(spark, rows, hot=hot) == want
+        assert len(split) >= least
 
 
 def test_fold_over_any_cut_of_batches():
