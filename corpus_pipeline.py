@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) on what its predecessor kept. All but the last
 return the columns of `documents`; the last returns each row's shard in the committed manifest.
+
+Defined cases, of all stages: documents with null or empty texts are neither toxic nor copies nor
+contaminated, and the mix takes them as often as their source is taken whole. Null sources are a source;
+rows with a null doc_id are kept by the filters unless they copy another row. Very long texts are read
+whole. Of equal texts the smallest doc_id stays. Repeated rows under one doc_id stay or go together.
+An empty table passes all stages. Extra columns, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -49,7 +55,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Learning, MinHash, tiling and flows are no SQL; tests hold the first three stages against plain versions, sharding by its rows.
+#: Learning, MinHash, tiling, flows and files are no SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
