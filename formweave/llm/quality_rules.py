@@ -4,7 +4,9 @@ Every measure is a built-in expression over the whole text, so the verdict is on
 without user functions and without a shuffle.
 
 Defined cases: null and empty texts have no words, every measure is 0 and they fail on length.
-Ratios over nothing are 0. Repeated rows are judged each. Extra columns are ignored.
+Ratios over nothing are 0. A measure that equals its bound passes. Very long texts are measured whole.
+Repeated rows are judged each, with null doc_ids as with others. An empty table gives an empty result.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,17 +52,32 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def window_hashes(words: Column, k: int) -> Column:
+    """64-bit hashes of all k-word windows: each word is hashed once, and neighbouring windows are combined by doubling."""
+
+    def combine(h: Column, shift: int) -> Column:
+        n = F.greatest(F.size(h) - shift, F.lit(0))
+        return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + shift, n), lambda x, y: F.xxhash64(x, y))
+
+    def grow(h: Column, width: int) -> Column:
+        if width == k:
+            return h
+        # two overlapping windows that cover k words name them as well
+        shift = min(width, k - width)
+        return _let(combine(h, shift), lambda g: grow(g, width + shift))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: grow(h, 1))
+
+
 def repeated_words(words: Column, k: int = 8) -> Column:
     """Words inside k-word windows that occur twice or more in the array, the first included.
 
     Windows are compared by their 64-bit hash: two different windows of one text of n words collide
-    with a chance below n*n/2^65. Where all windows differ, which is the usual case, nothing is sorted.
+    with a chance below n*n/2^64. Where all windows differ, which is the usual case, nothing is sorted.
     """
-    n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
 
     def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.zip_with(h, F.sequence(F.lit(0), F.size(h) - 1), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.zip_with(h, F.sequence(F.lit(0), F.size(h) - 1), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
             size = F.size(s)
@@ -68,7 +85,7 @@ def repeated_words(words: Column, k: int = 8) -> Column:
                 F.sequence(F.lit(0), size - 1),
                 lambda i: ((i > 0) & (F.get(s, i - 1)["h"] == F.get(s, i)["h"])) | ((i < size - 1) & (F.get(s, i + 1)["h"] == F.get(s, i)["h"])),
             )
-            return F.array_sort(F.transform(at, lambda i: F.get(s, i)["i"]))
+            return F.sort_array(F.transform(at, lambda i: F.get(s, i)["i"]))
 
         def length(b: Column) -> Column:
             gaps = F.zip_with(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), b, lambda y, x: F.when(y.isNotNull(), F.least(y - x, F.lit(k))).otherwise(F.lit(k)))
@@ -76,8 +93,9 @@ def repeated_words(words: Column, k: int = 8) -> Column:
 
         return _let(_let(pairs, starts), length)
 
-    return F.when(n < k, F.lit(0).cast("long")).otherwise(
-        _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    # with k words there is one window
+    return F.when(F.size(words) <= k, F.lit(0).cast("long")).otherwise(
+        _let(window_hashes(words, k), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     )
 
 
@@ -93,14 +111,14 @@ def measures(text: Column) -> Column:
     def of(words: Column) -> Column:
         n = F.size(words).cast("long")
         chars = F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.length(w))
-        symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+        symbols = F.regexp_count(text, F.lit("[" + SYMBOLS.replace("&", "\\&") + "]")).cast("long")
         lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{_WS}]"))
         stop = F.size(F.filter(words, lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?#*$%&")).isin(*STOP_WORDS)))
 
         def with_lines(ls: Column) -> Column:
             dup = (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")
-            upper = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-            bang = F.length(text) - F.length(F.translate(text, "!", ""))
+            upper = F.regexp_count(text, F.lit("[A-Z]"))
+            bang = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
             return F.struct(
                 n.alias("n_words"),
                 chars.alias("word_chars"),
