@@ -195,23 +195,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_bytes: int = 64 << 20) -> Model:
-    """Fits the model on the driver, from at most `max_train` labelled documents, not held out, with `max_bytes` of text in all."""
+def teaching_rows(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, label and text of at most `max_train` labelled documents, not held out, with `max_bytes` of text in all; one partition."""
     marks = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_tx_id"))
-        .agg(F.max("toxic").alias("_tx_label"))
+        .agg(F.max("toxic").alias("label"))
         .orderBy(F.xxhash64("_tx_id"), "_tx_id")
         .limit(max_train)
     )
     one = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("_tx_id"))
-    one = one.groupBy("_tx_id", "_tx_label").agg(F.min("text").alias("text"))
+    one = one.groupBy("_tx_id", "label").agg(F.min("text").alias("text"))
     # at most max_train rows
     upto = Window.orderBy(F.xxhash64("_tx_id"), "_tx_id").rowsBetween(Window.unboundedPreceding, 0)
-    one = one.withColumn("_tx_sum", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("_tx_sum") <= max_bytes)
-    got = one.select("text", "_tx_label", "_tx_id").toArrow().sort_by("_tx_id")
-    texts = got["text"].combine_chunks()
-    return fit(texts, got["_tx_label"].to_numpy()) if len(texts) else _untaught()
+    one = one.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("upto") <= max_bytes)
+    return one.select(F.col("_tx_id").cast("bigint").alias("doc_id"), F.col("label").cast("double").alias("label"), "text")
+
+
+def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("text", pa.string())])).sort_by("doc_id").combine_chunks()
+    if len(got):
+        m = fit(got["text"].combine_chunks(), got["label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([m.keys.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], ["keys", "weights", "bias"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_bytes: int = 64 << 20) -> Model:
+    """The model of the teaching rows. One task fits it, and only features and weights come to the driver."""
+    rows = map_arrow(teaching_rows(docs, labels, max_train, max_bytes), _teach, "keys binary, weights binary, bias double").collect()
+    if not rows:
+        return _untaught()
+    return Model.of(np.frombuffer(rows[0]["keys"], np.uint64), np.frombuffer(rows[0]["weights"], np.float64), rows[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -58,14 +58,11 @@ def test_gradient_is_that_of_the_likelihood():
         assert abs((up - down) / 2e-6 - got[k]) < 1e-5
 
 
-def test_teaching_rows_are_bounded_by_bytes_and_one_for_each_id(spark, monkeypatch):
+def test_teaching_rows_are_bounded_by_bytes_and_one_for_each_id(spark):
     rows = [(i, f"text {i % 2} " * 10) for i in range(40) for _ in range(1 + (i == 5) * 30)] + [(5, "another text")]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id bigint, text string, _tx_id int, toxic int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
-    taught = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: taught.append(texts.to_pylist()) or toxicity._untaught())
-    toxicity.train(df, labels)
-    toxicity.train(df, labels, max_bytes=400)
+    taught = [[r["text"] for r in toxicity.teaching_rows(df, labels, max_bytes=n).collect()] for n in (1 << 20, 400)]
     assert 20 < len(taught[0]) <= 40 and taught[0].count("another text") <= 1
     assert 0 < sum(map(len, taught[1])) <= 400
     assert toxicity.judge(df.limit(0), labels).count() == 0
