@@ -53,15 +53,31 @@ def comb_runs(boxes: DataFrame, group: list[str], x: str, tie: str, side, least:
 
 
 def nearest_line(marks: DataFrame, lines: DataFrame, page: list[str], mark: str, mark_y: str, line: str, line_y: str, limit=None) -> DataFrame:
-    """Each mark's nearest line on its page, the first of equally near ones; beyond `limit` none.
+    """Each mark's nearest line on its page, the one of the smallest number of equally near ones; beyond `limit` none.
 
-    Lines of a page are sorted into one array, and each mark is searched in it, so no pair is emitted.
+    Marks and lines of a page are sorted together; the lines above and below a mark are running extremes of both
+    directions, so no pair is emitted and no page is copied. Lines without a place count for no mark.
     """
-    held = lines.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col(line_y).alias("y"), F.col(line).alias("l")))).alias("_ls"))
-    near = F.array_min(F.transform("_ls", lambda x: F.struct(F.abs(x["y"] - F.col(mark_y)).alias("d"), x["l"].alias("l"))))
-    out = marks.join(held, page, "left").withColumn("_n", near)
+    cols = marks.columns
+    at = F.col(line_y).cast("double")
+    a = marks.select(*cols, F.col(mark_y).cast("double").alias("_y"), F.lit(1).alias("_k"), F.lit(None).cast(lines.schema[line].dataType).alias("_l"))
+    b = lines.where(at.isNotNull()).select(*(F.col(c) if c in page else F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in cols), at.alias("_y"), F.lit(0).alias("_k"), F.col(line).alias("_l"))
+    both = a.unionByName(b).withColumn("_s", F.when(F.col("_k") == 0, F.struct(F.col("_y").alias("y"), F.col("_l").alias("l"))))
+    seen = lambda y: F.last("_s", True).over(Window.partitionBy(*page).orderBy(y, "_k", F.desc("_l")).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_up", seen(F.asc("_y"))).withColumn("_down", seen(F.desc("_y")))
+    far = lambda s: F.when(F.col(s).isNotNull() & F.col("_y").isNotNull(), F.struct(F.abs(F.col(f"{s}.y") - F.col("_y")).alias("d"), F.col(f"{s}.l").alias("l")))
+    out = both.where("_k = 1").withColumn("_n", F.least(far("_up"), far("_down")))
     keep = F.lit(True) if limit is None else F.col("_n.d") <= limit
-    return out.select(*marks.columns, F.when(keep, F.col("_n.l")).alias(line), F.when(keep, F.col("_n.d")).alias("distance"))
+    return out.select(*cols, F.when(keep, F.col("_n.l")).alias(line), F.when(keep, F.col("_n.d")).alias("distance"))
+
+
+def inside(points: DataFrame, regions: DataFrame, page: list[str], keep: bool = True) -> DataFrame:
+    """Rows whose centre (cx, cy) lies in a region (x0, y0, x1, y1) of their page, edges included; with `keep` off the others."""
+    r = regions.select(*(F.col(c).alias(f"_{c}") for c in [*page, "x0", "y0", "x1", "y1"]))
+    on = F.col("cx").between(F.col("_x0"), F.col("_x1")) & F.col("cy").between(F.col("_y0"), F.col("_y1"))
+    for c in page:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return points.join(r, on, "left_semi" if keep else "left_anti")
 
 
 def assign_columns(cells: DataFrame, columns: DataFrame, table: list[str], cell: list[str]) -> DataFrame:

@@ -109,6 +109,100 @@ def box_centers(gray: np.ndarray, least: int = 8, most: int = 70, ratio: tuple[f
     return found
 
 
+def _local_mean(gray: np.ndarray, block: int) -> np.ndarray:
+    """Mean with normal weights over `block` pixels along both axes, edges repeated."""
+    half = block // 2
+    sigma = 0.3 * (half - 1) + 0.8
+    weights = np.exp(-((np.arange(block) - half) ** 2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+    out = gray.astype(np.float32)
+    for axis in (0, 1):
+        padded = np.pad(out, [(half, half) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        n = out.shape[axis]
+        out = sum(np.float32(v) * (padded[i : i + n] if axis == 0 else padded[:, i : i + n]) for i, v in enumerate(weights))
+    return np.rint(out)
+
+
+def combs(boxes: np.ndarray, least: int = 3) -> set[int]:
+    """Positions of boxes (cx, cy, side), by rows, that stand in a run of `least` or more closer than 1.8 sides.
+
+    A band is what lies within half a side of the first box that is in no band yet.
+    """
+    out: set[int] = set()
+    free = np.ones(len(boxes), bool)
+    for seed in range(len(boxes)):
+        if not free[seed]:
+            continue
+        band = np.nonzero(free & (np.abs(boxes[:, 1] - boxes[seed, 1]) <= boxes[seed, 2] / 2))[0]
+        free[band] = False
+        band = band[np.argsort(boxes[band, 0], kind="stable")]
+        cuts = np.nonzero(np.diff(boxes[band, 0]) > 1.8 * boxes[band[1:], 2])[0] + 1
+        for run in np.split(band, cuts):
+            if len(run) >= least:
+                out.update(run.tolist())
+    return out
+
+
+# Shares of the shorter side of a page and of the height of its text that bound a box's side, of a side that are its edge and
+# its margin, the least ink of an edge, and the ink of a tick.
+PAGE_SIDE, TEXT_SIDE, LEAST_SIDE, EDGE, MARGIN, SOLID, TICK = (0.008, 0.040), (0.95, 3.0), 8.0, 0.15, 0.28, 0.85, (0.10, 0.60)
+
+
+def page_boxes(gray: np.ndarray, text_height: float = 0.0) -> list[tuple[float, float, float, bool]]:
+    """Centre, side and tick of the boxes on a page, by rows: outlines darker than their surroundings with four solid edges.
+
+    Outlines may be pale, so they are sought in the local contrast; a tick is dark, so it is sought below the page's
+    threshold. Of boxes within half a side the first one stays; runs of boxes hold characters and go.
+    """
+    if not gray.size or gray.min() == gray.max():
+        return []
+    page = min(gray.shape)
+    least, most = max(LEAST_SIDE, page * PAGE_SIDE[0]), page * PAGE_SIDE[1]
+    if text_height > 0:
+        least, most = max(least, text_height * TEXT_SIDE[0]), min(most, text_height * TEXT_SIDE[1])
+    if least >= most:
+        return []
+    smooth = _blur(gray)
+    dark = smooth <= otsu(smooth)
+    line = smooth <= _local_mean(smooth, max(3, int(page * 0.02) | 1)) - 8
+    holes = components(~line, False)
+    h, w = line.shape
+    closed = (holes[:, 0] > 0) & (holes[:, 1] > 0) & (holes[:, 2] < w) & (holes[:, 3] < h)
+    areas = np.concatenate([components(line), holes[closed] + np.array([-1, -1, 1, 1])])
+    wide, high = areas[:, 2] - areas[:, 0], areas[:, 3] - areas[:, 1]
+    square = (wide >= least) & (wide <= most) & (high >= least) & (high <= most) & (wide / high >= 0.75) & (wide / high <= 1.35)
+    kept: list[tuple[float, float, float, float]] = []
+    areas = areas[square]
+    for x0, y0, x1, y1 in areas[np.lexsort((areas[:, 0] + areas[:, 2], areas[:, 1] + areas[:, 3]))].tolist():
+        short, part = min(x1 - x0, y1 - y0), line[y0:y1, x0:x1]
+        band, margin = max(1, round(short * EDGE)), max(1, round(short * MARGIN))
+        rows, cols = part.mean(axis=1), part.mean(axis=0)
+        if min(rows[:band].max(), rows[-band:].max(), cols[:band].max(), cols[-band:].max()) < SOLID:
+            continue
+        inner = dark[y0 + margin : y1 - margin, x0 + margin : x1 - margin]
+        x, y, side = (x0 + x1) / 2, (y0 + y1) / 2, float(max(x1 - x0, y1 - y0))
+        if inner.size and not any(abs(x - a) < s / 2 and abs(y - b) < s / 2 for a, b, s, _ in kept):
+            kept.append((x, y, side, float(inner.mean())))
+    gone = combs(np.array([k[:3] for k in kept]).reshape(-1, 3))
+    return [(x, y, side, TICK[0] <= ink <= TICK[1]) for i, (x, y, side, ink) in enumerate(kept) if i not in gone]
+
+
+def boxes_of_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, page_no, box_no, cx, cy, side, ticked of pages (key, page_no, width, height, gray, text_height); unreadable rasters have none."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, page_no, w, h, gray, height in batch.itertuples(index=False):
+                if gray is not None and w * h and len(gray) == w * h:
+                    found = page_boxes(np.frombuffer(gray, np.uint8).reshape(int(h), int(w)), 0.0 if pd.isna(height) else float(height))
+                    out += [(k, page_no, i, *box) for i, box in enumerate(found)]
+            yield pd.DataFrame(out, columns=[key, "page_no", "box_no", "cx", "cy", "side", "ticked"])
+
+    held = pages.select(key, "page_no", "width", "height", "gray", "text_height")
+    return held.mapInPandas(rows, f"{key} {dict(pages.dtypes)[key]}, page_no int, box_no int, cx double, cy double, side double, ticked boolean")
+
+
 def template_values(pages: DataFrame, boxes: list[Box], key: str = "doc_id") -> DataFrame:
     """key, keyword, value of the ticked template boxes on pages (key, page_no, width, height, gray).
 

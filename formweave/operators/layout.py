@@ -58,6 +58,14 @@ def best_band(hits: DataFrame, page: list[str]) -> DataFrame:
     return hits.join(best, [*page, "band"])
 
 
+def dominant_cluster(matches: DataFrame, group: list[str], order: str, low: str = "x0", high: str = "x1", weight: str = "coverage") -> DataFrame:
+    """group, low, high: of a caption's matches that overlap in x, those of the greatest weight in all, the narrower and then the left one of equal ones."""
+    held = geometry.overlap_clusters(matches, group, [low, order], low, high)
+    span = held.groupBy(*group, "cluster").agg(F.sum(weight).alias("_w"), F.min(low).alias(low), F.max(high).alias(high))
+    best = F.max_by(F.struct(low, high), F.struct("_w", F.col(low) - F.col(high), -F.col("cluster")))
+    return span.groupBy(*group).agg(best.alias("_b")).select(*group, f"_b.{low}", f"_b.{high}")
+
+
 def until_gap(rows: DataFrame, page: list[str], y: str, typical: str, start: str, times: float = 2.0) -> DataFrame:
     """Accepted rows up to the first that lies more than `times` the typical height below the one before it.
 

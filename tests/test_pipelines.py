@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from formweave.operators import compose, images, layout
+from formweave.operators import compose, geometry, images, layout
 from formweave.plans.catalog import ORACLES, QUERIES
 from formweave.sources import dictionary
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["promoted_values", "canonical_fields", "column_claims", "plausible_values", "form_schemas", "box_centers", "template_values", "geometric_tables"])
+@pytest.mark.parametrize("name", ["promoted_values", "canonical_fields", "column_claims", "plausible_values", "form_schemas", "box_centers", "template_values", "geometric_tables", "page_box_ticks", "page_line_index", "cell_text_lines", "words_by_region", "box_answers", "blank_mark_fields", "dominant_clusters"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in "customer orders lineitem labels".split():
@@ -104,3 +104,25 @@ def test_templates(spark, tmp_path):
     page = bytearray(g.tobytes())
     df = spark.createDataFrame([(1, 0, 40, 40, page), (1, 1, 40, 40, page), (2, 0, 40, 40, page), (3, 0, 40, 40, None), (4, 7, 40, 40, page)], "doc_id bigint, page_no int, width int, height int, gray binary")
     assert {r["doc_id"]: r["value"] for r in images.template_values(df, boxes).collect()} == {1: "y", 2: "YES"}
+
+
+def test_page_boxes_scale_with_text():
+    g = np.full((300, 300), 255, np.uint8)
+    g[50:62, [50, 61]] = g[[50, 61], 50:62] = 120
+    assert images.page_boxes(g) == [(56.0, 56.0, images.page_boxes(g)[0][2], False)]
+    assert images.page_boxes(g, 30.0) == []
+    assert images.page_boxes(np.zeros((0, 0), np.uint8)) == images.page_boxes(np.full((30, 30), 9, np.uint8)) == []
+
+
+def test_combs_by_seed_bands():
+    # the third box lies half a side below the first and belongs to its band, the fourth to no band of it
+    boxes = np.array([(0, 0, 10), (15, 2, 10), (30, 5, 10), (45, 9, 10), (200, 9, 10)], float)
+    assert images.combs(boxes) == {0, 1, 2}
+    assert images.combs(np.zeros((0, 3))) == set()
+
+
+def test_nearest_line_of_ties_and_blanks(spark):
+    marks = spark.createDataFrame([(1, 0, 5.0), (1, 1, 5.5), (1, 2, 90.0), (2, 3, 1.0), (1, 4, None), (3, 5, 0.0)], "page int, mark int, my double")
+    lines = spark.createDataFrame([(1, 7, 4.0), (1, 3, 6.0), (1, 2, 6.0), (1, 9, None), (3, 1, 1.0)], "page int, line int, ly double")
+    got = geometry.nearest_line(marks, lines, ["page"], "mark", "my", "line", "ly", 10.0)
+    assert {r["mark"]: r["line"] for r in got.collect()} == {0: 2, 1: 2, 2: None, 3: None, 4: None, 5: 1}
