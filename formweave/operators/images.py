@@ -54,8 +54,36 @@ def _blur(gray: np.ndarray) -> np.ndarray:
     return np.rint(out).astype(np.uint8)
 
 
-def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """x0, y0, x1, y1 (ends exclusive) of each connected area, by rows. Runs of neighbouring rows are united."""
+@dataclass(frozen=True)
+class Regions:
+    """Connected areas: their runs (row, begin, end exclusive, area), boxes x0, y0, x1, y1 (ends exclusive) and pixels."""
+
+    row: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    of: np.ndarray
+    box: np.ndarray
+    area: np.ndarray
+
+    @property
+    def wide(self) -> np.ndarray:
+        return self.box[:, 2] - self.box[:, 0]
+
+    @property
+    def high(self) -> np.ndarray:
+        return self.box[:, 3] - self.box[:, 1]
+
+    def paint(self, shape: tuple[int, int], chosen: np.ndarray) -> np.ndarray:
+        """The mask of the chosen areas."""
+        on = chosen[self.of]
+        edges = np.zeros((shape[0], shape[1] + 1), np.int32)
+        np.add.at(edges, (self.row[on], self.begin[on]), 1)
+        np.add.at(edges, (self.row[on], self.end[on]), -1)
+        return np.cumsum(edges, axis=1)[:, :-1] > 0
+
+
+def regions(mask: np.ndarray, diagonal: bool = True) -> Regions:
+    """The connected areas of a mask, in order of their first run. Runs of neighbouring rows are united."""
     steps = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, begin = np.nonzero(steps == 1)
     end = np.nonzero(steps == -1)[1]
@@ -78,12 +106,17 @@ def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
                 i += 1
             else:
                 j += 1
-    roots = np.array([root(i) for i in range(len(row))], int)
-    out = np.zeros((len(row), 4), int)
-    out[:, :2] = max(mask.shape)
+    roots, of = np.unique(np.array([root(i) for i in range(len(row))], int), return_inverse=True)
+    box = np.zeros((len(roots), 4), int)
+    box[:, :2] = max(mask.shape)
     for k, values, fold in ((0, begin, np.minimum), (1, row, np.minimum), (2, end, np.maximum), (3, row + 1, np.maximum)):
-        fold.at(out[:, k], roots, values)
-    return out[np.unique(roots)]
+        fold.at(box[:, k], of, values)
+    return Regions(row, begin, end, of, box, np.bincount(of, end - begin, len(roots)).astype(int))
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """x0, y0, x1, y1 (ends exclusive) of each connected area."""
+    return regions(mask, diagonal).box
 
 
 def box_centers(gray: np.ndarray, least: int = 8, most: int = 70, ratio: tuple[float, float] = (0.75, 1.35), fill: tuple[float, float] = (0.18, 0.78), apart: float = 0.01) -> list[tuple[float, float]]:

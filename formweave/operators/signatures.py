@@ -69,6 +69,6 @@ def titles(blocks: DataFrame, page: list[str], fallback: str = "Untitled") -> Da
 
 
 def file_names(signed: DataFrame, page: list[str]) -> DataFrame:
-    """Adds `file_name` from title, signer and the box's number on its page."""
-    n = F.row_number().over(Window.partitionBy(*page).orderBy("y0", "x0", "box_id"))
-    return signed.withColumn("file_name", F.concat_ws("_", "title", F.regexp_replace("signer", r"[^A-Za-z0-9]+", "_"), F.concat(F.lit("sig"), n.cast("string"))))
+    """Adds `file_name` from title, page (the last column of `page`), signer and the box's number on its page, in the detector's order."""
+    n = F.row_number().over(Window.partitionBy(*page).orderBy("box_id")).cast("string")
+    return signed.withColumn("file_name", F.concat(F.concat_ws("_", "title", F.concat(F.lit("p"), F.col(page[-1]).cast("string")), "signer", F.concat(F.lit("sig"), n)), F.lit(".png")))

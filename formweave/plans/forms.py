@@ -407,7 +407,7 @@ def page_titles(spark, sf):
     return signatures.titles(_blocks(spark, sf), ["page"])
 
 
-@query(f"select s.page, box_id, title || '_' || regexp_replace(signer, '[^A-Za-z0-9]+', '_', 'g') || '_sig' || (row_number() over (partition by s.page order by y0, x0, box_id))::varchar as file_name from ({_SIGNED}) s join ({_TITLES}) t on t.page = s.page")
+@query(f"select s.page, box_id, title || '_p' || s.page::varchar || '_' || signer || '_sig' || (row_number() over (partition by s.page order by box_id))::varchar || '.png' as file_name from ({_SIGNED}) s join ({_TITLES}) t on t.page = s.page")
 def signature_files(spark, sf):
     blocks = _blocks(spark, sf)
     kept = signatures.not_printed(signatures.large_enough(_boxes(spark, sf)), blocks, ["page"])

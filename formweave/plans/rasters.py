@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from formweave.operators import images
+from formweave.operators import images, ink
 from formweave.plans.registry import query
 from formweave.session import table
 
@@ -44,3 +45,34 @@ def page_box_ticks(spark, sf):
     said = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     pages = said.mapInPandas(rows, "doc_id bigint, page_no int, width int, height int, gray binary, text_height double")
     return images.boxes_of_pages(pages).select("doc_id", "cx", "cy", "ticked")
+
+
+@query(
+    """select doc_id, 1 as page_no, unnest([0, 1]) as box_id, 'preserve' as mode, unnest([quality = 1, toxic = 1]) as inked, true as is_png, (quality = 1)::int + (toxic = 1)::int as n_signed
+    from labels"""
+)
+def signature_ink(spark, sf):
+    """Two boxes a page, each with a rule below, one for a blue and one for a black stroke; the rule is no ink. Scores are equal, so the first mode counts."""
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for d, q, t in zip(b["doc_id"], b["quality"], b["toxic"], strict=True):
+                g = np.full((200, 260, 3), 255, np.uint8)
+                for on, top, pen in ((q, 10, (20, 20, 120)), (t, 110, (0, 0, 0))):
+                    g[top + 62 : top + 64] = 0
+                    x = np.arange(50, 180) if on == 1 else np.arange(0)
+                    y = np.rint(top + 30 + 12 * np.sin(x / 6.0)).astype(int)
+                    for step in range(-2, 3):
+                        g[y + step, x] = pen
+                out.append((d, 1, 260, 200, g.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "page_no", "width", "height", "rgb"])
+
+    said = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    pages = said.mapInPandas(rows, "doc_id bigint, page_no int, width int, height int, rgb binary")
+    boxes = said.select("doc_id", F.lit(1).alias("page_no"), F.expr("inline(array(struct(0 as box_id, 5 as x0, 5 as y0, 255 as x1, 80 as y1), struct(1 as box_id, 5 as x0, 105 as y0, 255 as x1, 180 as y1)))"))
+    got = ink.signature_images(pages, boxes, ["doc_id", "page_no"])
+    inked = F.col("n_ink") > 0
+    made = got.select("doc_id", "page_no", "box_id", "mode", inked.alias("inked"), (F.hex(F.substring("png", 1, 8)) == "89504E470D0A1A0A").alias("is_png"))
+    per_doc = made.groupBy("doc_id").agg(F.count_if("inked").cast("int").alias("n_signed"))
+    return made.join(per_doc, "doc_id")

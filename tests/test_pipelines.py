@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from formweave.operators import compose, geometry, images, layout
+from formweave.operators import compose, geometry, images, ink, layout
 from formweave.plans.catalog import ORACLES, QUERIES
 from formweave.sources import dictionary
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["promoted_values", "canonical_fields", "column_claims", "plausible_values", "form_schemas", "box_centers", "template_values", "geometric_tables", "page_box_ticks", "page_line_index", "cell_text_lines", "words_by_region", "box_answers", "blank_mark_fields", "dominant_clusters"])
+@pytest.mark.parametrize("name", ["promoted_values", "canonical_fields", "column_claims", "plausible_values", "form_schemas", "box_centers", "template_values", "geometric_tables", "page_box_ticks", "page_line_index", "cell_text_lines", "words_by_region", "box_answers", "blank_mark_fields", "dominant_clusters", "signature_ink"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in "customer orders lineitem labels".split():
@@ -126,3 +126,56 @@ def test_nearest_line_of_ties_and_blanks(spark):
     lines = spark.createDataFrame([(1, 7, 4.0), (1, 3, 6.0), (1, 2, 6.0), (1, 9, None), (3, 1, 1.0)], "page int, line int, ly double")
     got = geometry.nearest_line(marks, lines, ["page"], "mark", "my", "line", "ly", 10.0)
     assert {r["mark"]: r["line"] for r in got.collect()} == {0: 2, 1: 2, 2: None, 3: None, 4: None, 5: 1}
+
+
+def _crop(rule=True, stroke=True):
+    g = np.full((80, 240, 3), 255, np.uint8)
+    if stroke:
+        x = np.arange(40, 180)
+        y = np.rint(35 + 15 * np.sin(x / 8)).astype(int)
+        for step in range(-2, 3):
+            g[y + step, x] = (20, 20, 120)
+    if rule:
+        g[70:72] = 0
+    return g
+
+
+def test_signature_keeps_its_strokes_and_loses_rules():
+    alone = ink.clean(_crop(rule=False))
+    assert alone.sum() > 600 and np.array_equal(ink.clean(_crop()), alone)
+    assert not ink.clean(_crop(stroke=False)).any() and not ink.clean(np.full((40, 60, 3), 255, np.uint8)).any()
+    speck = _crop(rule=False)
+    speck[0:3, 0:3] = 0
+    assert np.array_equal(ink.clean(speck), alone)
+    assert ink.score(np.zeros((5, 5), bool)) == ink.NO_INK
+    assert ink.score(alone) > ink.score(alone | (np.arange(80) == 70)[:, None])
+
+
+def test_lines_and_colours():
+    z = np.zeros((50, 100), bool)
+    z[30, 10:90] = True
+    z[np.rint(10 + np.arange(60) * 0.05).astype(int), np.arange(60)] = True
+    assert [(a, b) for a, b, _, _ in ink.straight(z, 20, 6, 20, 0.12)] == [(10, 89), (0, 59)]
+    assert ink.straight(np.eye(50, dtype=bool), 20, 6, 20, 0.12) == []
+    pens = np.array([[(20, 20, 120), (200, 10, 10), (0, 0, 0), (255, 255, 255), (20, 120, 20), (120, 118, 118)]], np.uint8)
+    assert ink.coloured(pens).tolist() == [[True, True, False, False, False, False]]
+
+
+def test_png_holds_the_image():
+    import struct
+    import zlib
+
+    g = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    file = ink.png(g)
+    at = file.index(b"IDAT")
+    raw = zlib.decompress(file[at + 4 : at + 4 + struct.unpack(">I", file[at - 4 : at])[0]])
+    assert struct.unpack(">II", file[16:24]) == (4, 3)
+    assert np.array_equal(np.frombuffer(raw, np.uint8).reshape(3, 5)[:, 1:], g)
+
+
+def test_crops_of_signatures(spark):
+    raw = bytearray(_crop().tobytes())
+    pages = spark.createDataFrame([(1, 1, 240, 80, raw), (2, 1, 240, 80, None), (3, 1, 9, 9, raw)], "doc int, page_no int, width int, height int, rgb binary")
+    boxes = spark.createDataFrame([(1, 1, 5, 0, 0, 240, 80), (1, 1, 6, 500, 500, 600, 600), (2, 1, 5, 0, 0, 9, 9), (3, 1, 5, 0, 0, 9, 9), (4, 1, 5, 0, 0, 9, 9)], "doc int, page_no int, box_id int, x0 int, y0 int, x1 int, y1 int")
+    got = ink.signature_images(pages, boxes, ["doc", "page_no"], "strict").collect()
+    assert [(r["doc"], r["box_id"], r["mode"], r["n_ink"]) for r in got] == [(1, 5, "strict", int(ink.clean(_crop(), "strict").sum()))]
