@@ -145,20 +145,34 @@ def straight(mask: np.ndarray, least: int, gap: int, votes: int, slope: float) -
     All slopes that differ by a pixel over the width are tried, so that no chance decides.
     """
     h, w = mask.shape
-    left, out, x = mask.copy(), [], np.arange(w)
+    left, out = mask.copy(), []
     steep = int(slope * w)
+    drops = np.array(sorted(range(-steep, steep + 1), key=abs))
+    falls = np.rint(drops[:, None] * np.arange(w) / max(1, w - 1)).astype(int)
+    span = h + 2 * steep + 2
     while left.sum() >= votes:
+        y, x = np.nonzero(left)
+        order = np.argsort(x, kind="stable")
+        y, x = y[order], x[order]
+        # the row of each pixel at the left edge, for each slope: pixels of a line share it
+        at = y - falls[:, x]
+        cell = (at + steep + 1 + np.arange(len(drops))[:, None] * span).ravel()
+        first, last = np.full(len(drops) * span, w), np.full(len(drops) * span, -1)
+        xs = np.tile(x, len(drops))
+        np.minimum.at(first, cell, xs)
+        np.maximum.at(last, cell, xs)
         best = None
-        for drop in sorted(range(-steep, steep + 1), key=abs):
-            at = np.rint(drop * x / max(1, w - 1)).astype(int)
-            ys = np.arange(h)[:, None] + at[None, :]
-            sheared = np.where((ys >= 0) & (ys < h), left[np.clip(ys, 0, h - 1), x[None, :]], False)
-            for r in np.nonzero(sheared.sum(axis=1) >= votes)[0]:
-                ink = np.nonzero(sheared[r])[0]
-                for part in np.split(ink, np.nonzero(np.diff(ink) > gap + 1)[0] + 1):
-                    length = part[-1] - part[0]
-                    if len(part) >= votes and length >= least and (best is None or length > best[0]):
-                        best = (length, r, drop, part)
+        for c in np.nonzero((np.bincount(cell, minlength=len(drops) * span) >= votes) & (last - first >= least))[0]:
+            if best is not None and last[c] - first[c] <= best[0]:
+                continue
+            k, r = int(c // span), int(c % span) - steep - 1
+            ink = x[at[k] == r]
+            cuts = np.nonzero(np.diff(ink) > gap + 1)[0]
+            begin, end = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ink) - 1]])
+            length = np.where(end - begin + 1 >= votes, ink[end] - ink[begin], -1)
+            i = int(length.argmax())
+            if length[i] >= least and (best is None or length[i] > best[0]):
+                best = (length[i], r, int(drops[k]), ink[begin[i] : end[i] + 1])
         if best is None:
             break
         _, r, drop, part = best
@@ -219,7 +233,8 @@ def score(ink: np.ndarray) -> float:
 def best_clean(rgb: np.ndarray) -> tuple[str, np.ndarray]:
     """The mode with the best score and its mask, the first of equal ones."""
     made = {m: clean(rgb, m) for m in MODES}
-    name = max(MODES, key=lambda m: score(made[m]))
+    known = {made[m].tobytes(): score(made[m]) for m in {made[m].tobytes(): m for m in MODES}.values()}
+    name = max(MODES, key=lambda m: known[made[m].tobytes()])
     return name, made[name]
 
 
@@ -238,7 +253,9 @@ def signature_images(pages: DataFrame, boxes: DataFrame, page: list[str], mode:
     and pages with an unreadable raster, have no row.
     """
     packed = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("box_id", *(F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1"))))).alias("_b"))
-    held = pages.select(*page, "width", "height", "rgb").join(packed, page)
+    # cleaning takes long for its few bytes, so that its tasks are not to be merged by size
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = pages.select(*page, "width", "height", "rgb").join(packed, page).repartition(tasks, *page)
     types = dict(held.dtypes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
