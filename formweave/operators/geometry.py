@@ -52,23 +52,26 @@ def comb_runs(boxes: DataFrame, group: list[str], x: str, tie: str, side, least:
     return runs.withColumn("_n", F.count("*").over(Window.partitionBy(*group, "_run"))).where(F.col("_n") < least).drop("_new", "_run", "_n")
 
 
-def nearest_line(marks: DataFrame, lines: DataFrame, page: list[str], mark: str, mark_y: str, line: str, line_y: str, limit=None) -> DataFrame:
+def nearest_line(marks: DataFrame, lines: DataFrame, page: list[str], mark: str, mark_y: str, line: str, line_y: str, limit=None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each mark's nearest line on its page, the one of the smallest number of equally near ones; beyond `limit` none.
 
     Marks and lines of a page are sorted together; the lines above and below a mark are running extremes of both
-    directions, so no pair is emitted and no page is copied. Lines without a place count for no mark.
+    directions, so no pair is emitted and no page is copied. Lines without a place count for no mark. Columns of the
+    lines to `carry` come along, so that they need no join.
     """
     cols = marks.columns
     at = F.col(line_y).cast("double")
-    a = marks.select(*cols, F.col(mark_y).cast("double").alias("_y"), F.lit(1).alias("_k"), F.lit(None).cast(lines.schema[line].dataType).alias("_l"))
-    b = lines.where(at.isNotNull()).select(*(F.col(c) if c in page else F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in cols), at.alias("_y"), F.lit(0).alias("_k"), F.col(line).alias("_l"))
-    both = a.unionByName(b).withColumn("_s", F.when(F.col("_k") == 0, F.struct(F.col("_y").alias("y"), F.col("_l").alias("l"))))
+    kinds = {c: lines.schema[c].dataType for c in (line, *carry)}
+    rest = {f"_c{i}": c for i, c in enumerate(carry)}
+    a = marks.select(*cols, F.col(mark_y).cast("double").alias("_y"), F.lit(1).alias("_k"), F.lit(None).cast(kinds[line]).alias("_l"), *(F.lit(None).cast(kinds[c]).alias(n) for n, c in rest.items()))
+    b = lines.where(at.isNotNull()).select(*(F.col(c) if c in page else F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in cols), at.alias("_y"), F.lit(0).alias("_k"), F.col(line).alias("_l"), *(F.col(c).alias(n) for n, c in rest.items()))
+    both = a.unionByName(b).withColumn("_s", F.when(F.col("_k") == 0, F.struct(F.col("_y").alias("y"), F.col("_l").alias("l"), *rest))).drop(*rest)
     seen = lambda y: F.last("_s", True).over(Window.partitionBy(*page).orderBy(y, "_k", F.desc("_l")).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("_up", seen(F.asc("_y"))).withColumn("_down", seen(F.desc("_y")))
-    far = lambda s: F.when(F.col(s).isNotNull() & F.col("_y").isNotNull(), F.struct(F.abs(F.col(f"{s}.y") - F.col("_y")).alias("d"), F.col(f"{s}.l").alias("l")))
+    far = lambda s: F.when(F.col(s).isNotNull() & F.col("_y").isNotNull(), F.struct(F.abs(F.col(f"{s}.y") - F.col("_y")).alias("d"), F.col(f"{s}.l").alias("l"), *(F.col(f"{s}.{n}").alias(n) for n in rest)))
     out = both.where("_k = 1").withColumn("_n", F.least(far("_up"), far("_down")))
     keep = F.lit(True) if limit is None else F.col("_n.d") <= limit
-    return out.select(*cols, F.when(keep, F.col("_n.l")).alias(line), F.when(keep, F.col("_n.d")).alias("distance"))
+    return out.select(*cols, F.when(keep, F.col("_n.l")).alias(line), F.when(keep, F.col("_n.d")).alias("distance"), *(F.when(keep, F.col(f"_n.{n}")).alias(c) for n, c in rest.items()))
 
 
 def inside(points: DataFrame, regions: DataFrame, page: list[str], keep: bool = True) -> DataFrame:

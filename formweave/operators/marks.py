@@ -52,21 +52,26 @@ def clear_unticked(values: DataFrame, labels: str, value: str = "value", least:
     return values.withColumn(value, F.when(F.length(text.clean_value(left)) < 2, "").otherwise(F.col(value)))
 
 
-def group_marks(marks: DataFrame, page: list[str], y: str, order: str, tolerance: float | str) -> DataFrame:
-    """Adds `group_no`: each mark, in order, joins the first group whose first member is nearer than the tolerance, a number or a column."""
-    state = "struct<lead:array<double>,out:array<struct<o:bigint,g:int>>>"
+def group_marks(marks: DataFrame, page: list[str], y: str, order: str, tolerance: float | str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `group_no`: each mark, in order, joins the first group whose first member is nearer than the tolerance, a number or a column.
+
+    Columns to `carry` come through the fold, so that they need no join.
+    """
+    state = "struct<lead:array<double>,out:array<int>>"
     start = F.from_json(F.lit('{"lead":[],"out":[]}'), state)
 
     def step(acc, c):
         at = F.array_position(F.transform(acc["lead"], lambda m: F.abs(m - c["y"]) < c["t"]), True).cast("int")
         lead = F.when(at > 0, acc["lead"]).otherwise(F.concat(acc["lead"], F.array(c["y"])))
         g = F.when(at > 0, at).otherwise(F.size(acc["lead"]) + 1)
-        return F.struct(lead.alias("lead"), F.concat(acc["out"], F.array(F.struct(c["o"].alias("o"), g.alias("g")))).alias("out"))
+        return F.struct(lead.alias("lead"), F.concat(acc["out"], F.array(g)).alias("out"))
 
     limit = (F.col(tolerance) if isinstance(tolerance, str) else F.lit(tolerance)).cast("double")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(y).cast("double").alias("y"), limit.alias("t"))))
-    folded = marks.groupBy(*page).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("_o"))
-    return folded.select(*page, F.explode("_o").alias("_c")).select(*page, F.col("_c.o").alias(order), F.col("_c.g").alias("group_no"))
+    fold = F.struct(F.col(order).cast("bigint").alias("o"), F.col(y).cast("double").alias("y"), limit.alias("t"), *carry)
+    held = marks.groupBy(*page).agg(F.array_sort(F.collect_list(fold)).alias("_r"))
+    zipped = F.zip_with("_r", F.aggregate("_r", start, step, lambda a: a["out"]), lambda c, g: F.struct(c.alias("c"), g.alias("g")))
+    flat = held.select(*page, F.explode(zipped).alias("_c"))
+    return flat.select(*page, F.col("_c.c.o").alias(order), F.col("_c.g").alias("group_no"), *(F.col(f"_c.c.{x}") for x in carry))
 
 
 def caption_gaps(captions: DataFrame, values: DataFrame, key: list[str], caption_row: str = "row_no", value_row: str = "row_no") -> DataFrame:

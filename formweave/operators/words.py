@@ -57,10 +57,13 @@ def beside(marks: DataFrame, lines: DataFrame, page: list[str], back: Column | f
     """Marks (mark_no, cx, cy) that have a line, with that line's columns and its texts at the `left` and `right` of the mark.
 
     `back` is how far before the mark's centre a word of the right side may begin; it may refer to `median_h`.
+    Lines come along with the marks and are not joined: their estimated size is far below their real one, and
+    a broadcast of them would fill the driver.
     """
     at = marks.select(*page, "mark_no", F.col("cx").alias("mark_x"), F.col("cy").alias("mark_y"))
-    near = geometry.nearest_line(at, lines.select(*page, "line_no", "cy"), page, "mark_no", "mark_y", "line_no", "cy", limit)
-    read = near.where("line_no is not null").join(lines, [*page, "line_no"])
+    carry = tuple(c for c in lines.columns if c not in (*page, "line_no"))
+    near = geometry.nearest_line(at, lines, page, "mark_no", "mark_y", "line_no", "cy", limit, carry)
+    read = near.dropna(subset=[*page, "line_no"]).drop("distance")
     edge = F.col("mark_x") - back
     texts = lambda keep: F.transform(F.filter("words", keep), lambda w: w["text"])
     return read.withColumn("left", texts(lambda w: w["x"] < edge)).withColumn("right", texts(lambda w: w["x"] >= edge))
@@ -122,9 +125,9 @@ def mark_fields(marks: DataFrame, lines: DataFrame, key: list[str], page_no: str
     read = read.withColumn("_said", text.clean_value(joined(F.slice("right", 1, STATEMENT_WORDS))))
     read = read.withColumn("_k", F.row_number().over(Window.partitionBy(*page).orderBy("cy", "mark_x", "mark_no")).cast("bigint"))
     read = read.withColumn("_tol", F.greatest(F.lit(LEAST_ROW), F.col("median_h") * ROW))
-    grouped = M.group_marks(read, page, "cy", "_k", "_tol")
+    grouped = M.group_marks(read, page, "cy", "_k", "_tol", ("_local", "_said", "_context"))
     member = F.struct("_k", F.col("_local").alias("local"), F.col("_said").alias("said"), F.col("_context").alias("context"))
-    groups = read.join(grouped, [*page, "_k"]).groupBy(*page, "group_no").agg(F.array_sort(F.collect_list(member)).alias("_m"))
+    groups = grouped.groupBy(*page, "group_no").agg(F.array_sort(F.collect_list(member)).alias("_m"))
     locals_ = F.transform("_m", lambda m: m["local"])
     has = lambda word: F.exists(locals_, lambda x: x.rlike(rf"\b{word}\b"))
     kind = F.when(has("YES") & has("NO"), "yesno").when(F.size("_m") == 1, "checkbox").otherwise("option")
