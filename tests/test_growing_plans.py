@@ -16,3 +16,8 @@ def plan_of(df):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_lines_are_not_joined_with_the_fields_of_marks(spark):
     assert "Join" not in plan_of(QUERIES["blank_mark_fields"](spark, SF))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_lines_are_not_joined_with_the_answers_of_marks(spark):
+    assert "Join" not in plan_of(QUERIES["box_answers"](spark, SF))
