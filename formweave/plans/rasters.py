@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formweave.operators import images, ink
@@ -11,6 +14,25 @@ from formweave.plans.registry import query
 from formweave.session import table
 
 SIDE = 400
+#: Pages drawn at once.
+DRAWN = 64
+
+
+def _pages(said: DataFrame, draw: Callable[[int, int, int], tuple], schema: str) -> DataFrame:
+    """Pages drawn from doc_id, quality and toxic, a few at a time: labels are few bytes, their pages are not.
+
+    So labels are dealt to tasks first, and no batch of labels becomes one frame of rasters.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(batches):
+        for b in batches:
+            for i in range(0, len(b), DRAWN):
+                part = b.iloc[i : i + DRAWN]
+                yield pd.DataFrame([draw(*x) for x in zip(part["doc_id"], part["quality"], part["toxic"], strict=True)], columns=columns)
+
+    tasks = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return said.select("doc_id", "quality", "toxic").repartition(tasks, "doc_id").mapInPandas(rows, schema)
 
 
 def _draw(ticks: tuple[int, int]) -> np.ndarray:
@@ -37,13 +59,10 @@ def _draw(ticks: tuple[int, int]) -> np.ndarray:
 def page_box_ticks(spark, sf):
     """All boxes of a page with their ticks; characters in combs are none, and a filled square is a box without a tick."""
 
-    def rows(batches):
-        for b in batches:
-            drawn = [(d, 1, SIDE, SIDE, _draw((q, t)).tobytes(), 0.0) for d, q, t in zip(b["doc_id"], b["quality"], b["toxic"], strict=True)]
-            yield pd.DataFrame(drawn, columns=["doc_id", "page_no", "width", "height", "gray", "text_height"])
+    def draw(d: int, q: int, t: int) -> tuple:
+        return d, 1, SIDE, SIDE, _draw((q, t)).tobytes(), 0.0
 
-    said = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    pages = said.mapInPandas(rows, "doc_id bigint, page_no int, width int, height int, gray binary, text_height double")
+    pages = _pages(table(spark, sf, "labels"), draw, "doc_id bigint, page_no int, width int, height int, gray binary, text_height double")
     return images.boxes_of_pages(pages).select("doc_id", "cx", "cy", "ticked")
 
 
@@ -54,25 +73,21 @@ def page_box_ticks(spark, sf):
 def signature_ink(spark, sf):
     """Two boxes a page, each with a rule below, one for a blue and one for a black stroke; the rule is no ink. Scores are equal, so the first mode counts."""
 
-    def rows(batches):
-        for b in batches:
-            out = []
-            for d, q, t in zip(b["doc_id"], b["quality"], b["toxic"], strict=True):
-                g = np.full((200, 260, 3), 255, np.uint8)
-                for on, top, pen in ((q, 10, (20, 20, 120)), (t, 110, (0, 0, 0))):
-                    g[top + 62 : top + 64] = 0
-                    x = np.arange(50, 180) if on == 1 else np.arange(0)
-                    y = np.rint(top + 30 + 12 * np.sin(x / 6.0)).astype(int)
-                    for step in range(-2, 3):
-                        g[y + step, x] = pen
-                out.append((d, 1, 260, 200, g.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "page_no", "width", "height", "rgb"])
-
-    said = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    pages = said.mapInPandas(rows, "doc_id bigint, page_no int, width int, height int, rgb binary")
+    def draw(d: int, q: int, t: int) -> tuple:
+        g = np.full((200, 260, 3), 255, np.uint8)
+        for on, top, pen in ((q, 10, (20, 20, 120)), (t, 110, (0, 0, 0))):
+            g[top + 62 : top + 64] = 0
+            x = np.arange(50, 180) if on == 1 else np.arange(0)
+            y = np.rint(top + 30 + 12 * np.sin(x / 6.0)).astype(int)
+            for step in range(-2, 3):
+                g[y + step, x] = pen
+        return d, 1, 260, 200, g.tobytes()
+
+    said = table(spark, sf, "labels")
+    pages = _pages(said, draw, "doc_id bigint, page_no int, width int, height int, rgb binary")
     boxes = said.select("doc_id", F.lit(1).alias("page_no"), F.expr("inline(array(struct(0 as box_id, 5 as x0, 5 as y0, 255 as x1, 80 as y1), struct(1 as box_id, 5 as x0, 105 as y0, 255 as x1, 180 as y1)))"))
     got = ink.signature_images(pages, boxes, ["doc_id", "page_no"])
     inked = F.col("n_ink") > 0
     made = got.select("doc_id", "page_no", "box_id", "mode", inked.alias("inked"), (F.hex(F.substring("png", 1, 8)) == "89504E470D0A1A0A").alias("is_png"))
-    per_doc = made.groupBy("doc_id").agg(F.count_if("inked").cast("int").alias("n_signed"))
-    return made.join(per_doc, "doc_id")
+    # a window and no join, which would clean every crop twice
+    return made.withColumn("n_signed", F.count_if("inked").over(Window.partitionBy("doc_id")).cast("int"))

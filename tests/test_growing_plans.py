@@ -21,3 +21,9 @@ def test_lines_are_not_joined_with_the_fields_of_marks(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_lines_are_not_joined_with_the_answers_of_marks(spark):
     assert "Join" not in plan_of(QUERIES["box_answers"](spark, SF))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_crops_are_cleaned_once(spark):
+    plan = plan_of(QUERIES["signature_ink"](spark, SF))
+    assert plan.count("MapInPandas") == 2
