@@ -2,8 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
+from formweave.operators import images
 from formweave.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,17 @@ def test_lines_are_not_joined_with_the_answers_of_marks(spark):
 def test_crops_are_cleaned_once(spark):
     plan = plan_of(QUERIES["signature_ink"](spark, SF))
     assert plan.count("MapInPandas") == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pages_of_few_labels_go_to_many_tasks(spark):
+    assert QUERIES["page_box_ticks"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_areas_of_a_comb_and_a_spiral_are_one():
+    m = np.zeros((9, 9), bool)
+    m[:, ::2] = m[8] = True
+    assert images.components(m).tolist() == [[0, 0, 9, 9]]
+    s = np.array([list(r) for r in ("1111111", "0000001", "1111101", "1000101", "1011101", "1000001", "1111111")]) == "1"
+    assert len(images.components(s)) == len(images.components(s, False)) == 1
+    assert len(images.components(np.eye(5, dtype=bool))) == 1 and len(images.components(np.eye(5, dtype=bool), False)) == 5
