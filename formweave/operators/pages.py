@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from formweave.functions import text
-from formweave.operators import matching, rules
+from formweave.operators import matching, readings, rules
 from formweave.operators.compose import SELECTION_KINDS, SELECTION_TOKENS
 
 PREFIX_WORDS, VALUE_LINES = 6, 4
@@ -30,7 +31,21 @@ def line_fields(lines: DataFrame, dictionary: DataFrame, contextual: DataFrame,
     is the rest of the line, or, if nothing or only printed text is left there, the lines below that nobody printed:
     up to four for text, one for other kinds. Selections accept a selection's word alone. Of a keyword that has
     a contextual alias the first value on the page counts, of others the last.
+
+    The dictionary rides along and pages are read whole, after one exchange; a dictionary too large for that is joined.
     """
+    listed = [matching._listed(dictionary, "alias_norm", "keyword", "ord"), matching._listed(contextual, "label_norm", "keyword", "ord", "context_norm"), matching._listed(kinds, "keyword", "kind")]
+    if any(rows is None for rows in listed):
+        return joined_line_fields(lines, dictionary, contextual, kinds, page, threshold)
+    plain, anchored, kind_of = ([tuple(r) for r in rows] for rows in listed)
+    reader = readings.Reader(plain, anchored, dict(kind_of), threshold, tuple(SELECTION_KINDS), tuple(SELECTION_TOKENS), PREFIX_WORDS, VALUE_LINES)
+    held = lines.select(*page, "line_no", F.col("line").cast("string").alias("line")).repartition(*page).sortWithinPartitions(*page, "line_no")
+    schema = StructType([*(held.schema[c] for c in page), StructField("keyword", StringType()), StructField("value", StringType())])
+    return held.mapInArrow(lambda batches: reader.pages(batches, len(page), page), schema)
+
+
+def joined_line_fields(lines: DataFrame, dictionary: DataFrame, contextual: DataFrame, kinds: DataFrame, page: list[str], threshold: float = 0.82) -> DataFrame:
+    """As `line_fields`, by joins with a dictionary of any size."""
     phrases = [r[0] for r in contextual.select("context_norm").distinct().orderBy("context_norm").collect()]
     packed = lines.select(F.struct(*page).alias("_p"), "line_no", text.clean_value(F.col("line")).alias("line"))
     held = rules.lookback(packed, phrases, key="_p").withColumn("context", F.coalesce("context", F.lit(""))).withColumn("whole", text.strip_edges(F.col("line")))
