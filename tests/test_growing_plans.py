@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from formweave.operators import images
+from formweave.operators import images, ink
 from formweave.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,12 @@ def test_areas_of_a_comb_and_a_spiral_are_one():
     s = np.array([list(r) for r in ("1111111", "0000001", "1111101", "1000101", "1011101", "1000001", "1111111")]) == "1"
     assert len(images.components(s)) == len(images.components(s, False)) == 1
     assert len(images.components(np.eye(5, dtype=bool))) == 1 and len(images.components(np.eye(5, dtype=bool), False)) == 5
+
+
+def test_modes_with_equal_lines_are_cleaned_once(monkeypatch):
+    g = np.full((60, 200, 3), 255, np.uint8)
+    g[20:40, 60:64] = g[28:32, 60:90] = 0
+    masks, searched, search = [ink.clean(g, m) for m in ink.MODES], [], ink.straight
+    monkeypatch.setattr(ink, "straight", lambda *a: searched.append(a) or search(*a))
+    name, mask = ink.best_clean(g)
+    assert len(searched) == 2 and name == "preserve" and np.array_equal(mask, masks[0]) and mask.any()
