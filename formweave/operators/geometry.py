@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cluster_rows(cells: DataFrame, page: list[str], y: str, tie: str, tolerance: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Greedy 1-D clustering per page: a cell joins the row whose running mean is within the tolerance.
-
-    A page's cells are folded in order of (y, tie); pages are bounded by what a page can show. Columns to
-    `carry` come through the fold, so that they need no join.
-    """
+def row_numbers(cells: Column) -> Column:
+    """Numbers from 1 for an array of cells (y, tol): a cell joins the row whose running mean is within the tolerance, or begins the next."""
     state = "struct<m:double,n:int,r:int,out:array<int>>"
     start = F.from_json(F.lit('{"m":0.0,"n":0,"r":0,"out":[]}'), state)
 
@@ -22,9 +18,18 @@ def cluster_rows(cells: DataFrame, page: list[str], y: str, tie: str, tolerance:
         r = F.when(near, acc["r"]).otherwise(acc["r"] + 1).cast("int")
         return F.struct(m.alias("m"), n.cast("int").alias("n"), r.alias("r"), F.concat(acc["out"], F.array(r)).alias("out"))
 
+    return F.aggregate(cells, start, step, lambda a: a["out"])
+
+
+def cluster_rows(cells: DataFrame, page: list[str], y: str, tie: str, tolerance: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy 1-D clustering per page: a cell joins the row whose running mean is within the tolerance.
+
+    A page's cells are folded in order of (y, tie); pages are bounded by what a page can show. Columns to
+    `carry` come through the fold, so that they need no join.
+    """
     fold = F.struct(F.col(y).cast("double").alias("y"), F.col(tie).cast("bigint").alias("tie"), F.col(tolerance).cast("double").alias("tol"), *carry)
     held = cells.groupBy(*page).agg(F.array_sort(F.collect_list(fold)).alias("_r"))
-    zipped = F.zip_with("_r", F.aggregate("_r", start, step, lambda a: a["out"]), lambda c, r: F.struct(c.alias("c"), r.alias("row_no")))
+    zipped = F.zip_with("_r", row_numbers(F.col("_r")), lambda c, r: F.struct(c.alias("c"), r.alias("row_no")))
     flat = held.select(*page, F.explode(zipped).alias("_c"))
     return flat.select(*page, F.col("_c.c.tie").alias(tie), F.col("_c.c.y").alias(y), "_c.row_no", *(F.col(f"_c.c.{x}") for x in carry))
 

@@ -16,13 +16,47 @@ LEAST_SIDE, SIDE, LEAST_SPAN, SPAN, LEAST_ROW, ROW = 0.005, 0.2, 0.05, 4.0, 0.01
 STATEMENT_WORDS = 28
 
 
-def page_words(words: DataFrame, page: list[str]) -> DataFrame:
-    """Words (word_no, text, x0, y0, x1, y1) with a text and a box, with their centre and the page's median height of words."""
+def _placed(words: DataFrame) -> DataFrame:
+    """Words (word_no, text, x0, y0, x1, y1) with a text and a box, with their centre and their height `_h`."""
     said = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     held = words.withColumn("text", said).where("text <> '' and x0 + y0 + x1 + y1 is not null")
     height = F.greatest(F.lit(LEAST_HEIGHT), F.col("y1") - F.col("y0"))
-    held = held.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2).withColumn("_h", height)
-    return held.withColumn("median_h", F.greatest(F.lit(LEAST_HEIGHT), F.median("_h").over(Window.partitionBy(*page)))).drop("_h")
+    return held.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2).withColumn("_h", height)
+
+
+def page_words(words: DataFrame, page: list[str]) -> DataFrame:
+    """Words (word_no, text, x0, y0, x1, y1) with a text and a box, with their centre and the page's median height of words."""
+    return _placed(words).withColumn("median_h", F.greatest(F.lit(LEAST_HEIGHT), F.median("_h").over(Window.partitionBy(*page)))).drop("_h")
+
+
+def _gathered(words: DataFrame, marks: DataFrame, page: list[str]) -> DataFrame:
+    """A row per page with words and marks: words `_w`, in order of their centres and from left to right, `median_h`, marks `_m`.
+
+    Words and marks meet in one exchange; what follows works on the arrays of a page, which are bounded by what
+    a page can show, and needs no sort of words or lines, of which each would hold and spill them once more.
+    """
+    rows = _placed(words).select(*page, F.struct("cy", "x0", "word_no", "text", F.col("_h").alias("h")).alias("_c"))
+    rows = rows.unionByName(marks.select(*page, F.struct("mark_no", "cx", "cy").alias("_n")), allowMissingColumns=True)
+    held = rows.groupBy(*page).agg(F.array_sort(F.collect_list("_c")).alias("_w"), F.collect_list("_n").alias("_m")).where("size(_w) > 0 and size(_m) > 0")
+    high, n = F.array_sort(F.transform("_w", lambda c: c["h"])), F.size("_w")
+    low, up = F.get("_s", ((n - 1) / 2).cast("int")), F.get("_s", (n / 2).cast("int"))
+    median = F.greatest(F.lit(LEAST_HEIGHT), F.when(low == up, low).otherwise(low * 0.5 + up * 0.5))
+    return held.withColumn("_s", high).withColumn("median_h", median).drop("_s")
+
+
+def _folded(groups: DataFrame) -> DataFrame:
+    """Adds `lines` (cy, line, words), those of `group_lines`, to pages of words `_w` with their `median_h`."""
+    tolerance = F.greatest(F.lit(LEAST_TOLERANCE), F.col("median_h") * TOLERANCE)
+    numbers = geometry.row_numbers(F.transform("_w", lambda c: F.struct(c["cy"].cast("double").alias("y"), tolerance.alias("tol"))))
+    first = lambda k: F.array_position("_r", k).cast("int")
+    behind = lambda k: F.when(k < F.element_at("_r", -1), first(k + 1)).otherwise(F.size("_r") + 1)
+    parts = F.transform(F.sequence(F.lit(1), F.element_at("_r", -1)), lambda k: F.slice("_w", first(k), behind(k) - first(k)))
+    across = lambda p: F.array_sort(F.transform(p, lambda c, i: F.struct(c["x0"].alias("x"), i.alias("i"), c["text"].alias("text"))))
+    centre = lambda p: F.aggregate(p, F.lit(0.0), lambda s, c: s + c["cy"]) / F.size(p)
+    made = F.transform(parts, lambda p: F.struct(centre(p).alias("cy"), F.transform(across(p), lambda c: F.struct(c["x"].alias("x"), c["text"].alias("text"))).alias("words")))
+    line = lambda x: F.array_join(F.transform(x["words"], lambda c: c["text"]), " ")
+    held = groups.withColumn("_r", numbers).withColumn("_l", made)
+    return held.withColumn("lines", F.transform("_l", lambda x: F.struct(x["cy"].alias("cy"), line(x).alias("line"), x["words"].alias("words")))).drop("_r", "_l")
 
 
 def group_lines(words: DataFrame, group: list[str]) -> DataFrame:
@@ -82,23 +116,33 @@ class MarkRule:
     answer: str | None = None
 
 
-def mark_answers(marks: DataFrame, lines: DataFrame, rules: list[MarkRule], key: list[str], page_no: str = "page_no", back: float = 0.02, limit: float | None = None) -> DataFrame:
+def mark_answers(marks: DataFrame, words: DataFrame, rules: list[MarkRule], key: list[str], page_no: str = "page_no", back: float = 0.02, limit: float | None = None) -> DataFrame:
     """key, keyword, value: what selected marks answer, by the six words before and the eight behind them and the lines up to two away.
 
+    A mark lies on the nearest line of its page's words, the upper of equally near ones; beyond `limit` on none.
     YES is looked for before NO. Of several answers the last page's last mark's last rule counts.
     """
     page = [*key, page_no]
-    around = F.array_join(F.collect_list("line").over(Window.partitionBy(*page).orderBy("line_no").rowsBetween(-2, 2)), " ")
-    read = beside(marks, lines.withColumn("_context", F.upper(around)), page, F.lit(back), limit)
+    pages = _folded(_gathered(words, marks, page).dropna(subset=page))
+    nearest = lambda m: F.array_min(F.transform("lines", lambda x, i: F.struct(F.abs(x["cy"] - m["cy"]).alias("d"), i.alias("i"))))
+    around = lambda i: F.slice("lines", F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.lit(5)))
+    context = lambda i: F.upper(F.array_join(F.transform(around(i), lambda x: x["line"]), " "))
+    at_line = lambda m, n: F.struct(m["mark_no"].alias("mark_no"), m["cx"].alias("cx"), F.get("lines", n["i"])["words"].alias("words"), context(n["i"]).alias("context"))
+    kept = lambda n: n["d"].isNotNull() if limit is None else n["d"] <= limit
+    placed = F.zip_with("_m", "_n", lambda m, n: F.when(kept(n), at_line(m, n)))
+    read = pages.withColumn("_n", F.transform("_m", nearest)).select(*page, F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("_m")).select(*page, "_m.*")
+    edge = F.col("cx") - back
+    texts = lambda keep: F.transform(F.filter("words", keep), lambda w: w["text"])
+    read = read.withColumn("left", texts(lambda w: w["x"] < edge)).withColumn("right", texts(lambda w: w["x"] >= edge))
     local = F.upper(F.array_join(F.concat(_last("left", 6), F.slice("right", 1, 8)), " "))
-    said = F.when(local.contains("YES"), "YES").when(local.contains("NO"), "NO")
+    said = F.when(F.col("_local").contains("YES"), "YES").when(F.col("_local").contains("NO"), "NO")
     found = []
     for i, r in enumerate(rules):
         fits = F.lit(True)
         for part in r.parts:
-            fits = fits & F.col("_context").contains(part)
+            fits = fits & F.col("context").contains(part)
         found.append(F.when(fits, F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), (said if r.answer is None else F.lit(r.answer)).alias("value"))))
-    got = read.select(*page, "mark_no", F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("_f"))
+    got = read.withColumn("_local", local).select(*page, "mark_no", F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("_f"))
     return got.groupBy(*key, F.col("_f.keyword").alias("keyword")).agg(F.max_by("_f.value", F.struct(page_no, "mark_no", "_f.rule")).alias("value"))
 
 

@@ -81,7 +81,7 @@ def box_answers(spark, sf):
     rows = [(1, 0.10, "Do you want to receive mail"), (1, 0.14, "YES"), (1, 0.18, "NO"), (1, 0.4, "one"), (1, 0.5, "two"), (1, 0.6, "three"), (1, 0.7, "Politically exposed"), (1, 0.74, "person here")]
     rows += [(2, 0.1, "Form A"), (2, 0.3, "x"), (2, 0.5, "x"), (2, 0.7, "x"), (2, 0.9, "Form B")]
     ticks = [(1, 0.01, 0.141, k % 2 == 0), (1, 0.01, 0.181, k % 2 == 1), (1, 0.01, 0.74, k % 3 == 0), (1, 0.01, 0.82, None), (2, 0.01, 0.1, k % 3 > 0), (2, 0.01, 0.9, k % 3 == 2)]
-    return words.mark_answers(_marks(docs, ticks), words.page_lines(_words(docs, rows), ["doc_id", "page_no"]), _RULES, ["doc_id"], limit=0.05)
+    return words.mark_answers(_marks(docs, ticks), _words(docs, rows), _RULES, ["doc_id"], limit=0.05)
 
 
 @query(
