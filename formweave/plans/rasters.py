@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -81,12 +82,12 @@ def signature_ink(spark, sf):
             y = np.rint(top + 30 + 12 * np.sin(x / 6.0)).astype(int)
             for step in range(-2, 3):
                 g[y + step, x] = pen
-        return d, 1, 260, 200, g.tobytes()
+        return d, 1, 260, 200, zlib.compress(g.tobytes(), 1)
 
     said = table(spark, sf, "labels")
     pages = _pages(said, draw, "doc_id bigint, page_no int, width int, height int, rgb binary")
     boxes = said.select("doc_id", F.lit(1).alias("page_no"), F.expr("inline(array(struct(0 as box_id, 5 as x0, 5 as y0, 255 as x1, 80 as y1), struct(1 as box_id, 5 as x0, 105 as y0, 255 as x1, 180 as y1)))"))
-    got = ink.signature_images(pages, boxes, ["doc_id", "page_no"])
+    got = ink.signature_images(pages, boxes, ["doc_id", "page_no"], deflated=True)
     inked = F.col("n_ink") > 0
     made = got.select("doc_id", "page_no", "box_id", "mode", inked.alias("inked"), (F.hex(F.substring("png", 1, 8)) == "89504E470D0A1A0A").alias("is_png"))
     # a window and no join, which would clean every crop twice
